@@ -129,7 +129,7 @@ def drill_down(df: DataFrame, targets: Sequence[str] | DataFrame, cols: Sequence
     rest = df
     for c in cols:
         side = values.withColumnRenamed("target", c)
-        hit = rest.join(side, c, "left_semi").select(*df.columns)
-        rest = rest.join(side, c, "left_anti").select(*df.columns)
+        hit = spread_join(rest, side, [c], "left_semi").select(*df.columns)
+        rest = spread_join(rest, side, [c], "left_anti").select(*df.columns)
         found = hit if found is None else found.unionByName(hit)
     return found

@@ -7,66 +7,82 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# A key with more rows than this is cut into pieces of about this many.
+HOT_ROWS = 1_000_000
 HOT_KEYS = 256
-SALTS = 64
+MAX_PIECES = 1024
 BLOCK = 4096
 
 
+def frequent_keys(df: DataFrame, keys: Sequence[str], rows: int) -> dict[int, int]:
+    """Key hash -> row count of the keys with more than `rows` rows, HOT_KEYS at most.
+
+    Each task sums up its rows in a sketch of fixed size, so neither the shuffle
+    nor the result grows with the number of keys, and a key that owns a sizeable
+    share of the rows is always found.
+    """
+    present = F.lit(True)
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    sketches = (
+        df.where(present)
+        .select(F.xxhash64(*keys).alias("h"), F.pmod(F.spark_partition_id(), F.lit(512)).alias("part"))
+        .groupBy("part")
+        .agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {8 * HOT_KEYS})").alias("top"))
+    )
+    counts = (
+        sketches.select(F.inline("top"))
+        .groupBy("item")
+        .agg(F.sum("count").alias("n"))
+        .where(F.col("n") > rows)
+        .orderBy(F.desc("n"))
+        .limit(HOT_KEYS)
+    )
+    return {r["item"]: r["n"] for r in counts.collect()}
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str,
-    spread_by: Sequence[str],
-    salts: int = SALTS,
+    spread_by: Sequence[str] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi-join whose left side may be dominated by a few keys.
+    """Equi-join whose left side may be dominated by a few keys, or by null keys.
 
-    The most frequent left keys (at most HOT_KEYS of them, found by a
-    pre-aggregated count, so that broadcasting them is bounded) are cut into
-    `salts` pieces by a hash of `spread_by`, and only their right rows are copied
-    to each piece. All other rows join as usual, and which keys count as frequent
-    never changes the result. `how` is inner, left, left_semi, left_anti, right
-    or full. The hash, unlike a random number, gives a re-run task the same rows.
+    Left rows of a frequent key are cut into pieces by a hash of `spread_by`
+    (default: all columns), and that key's right rows are copied to each piece.
+    All other rows join as usual. Which keys count as frequent never changes the
+    result, and the hash, unlike a random number, gives a re-run task the same
+    rows. `how` is inner, left, left_semi, left_anti, right or full.
     """
     keys = list(keys)
     if how in ("right", "full"):
         matched = spread_join(
-            left, right, keys, "inner" if how == "right" else "left", spread_by, salts
+            left, right, keys, "inner" if how == "right" else "left", spread_by, hot_rows
         )
         only_right = right.join(left.select(*keys).distinct(), keys, "left_anti")
         return matched.unionByName(only_right, allowMissingColumns=True)
 
-    hot = (
-        left.groupBy(*keys)
-        .count()
-        .orderBy(F.desc("count"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    hot = frequent_keys(left, keys, hot_rows)
+    if not hot:
+        return left.join(right, keys, how)
+    pieces = min(MAX_PIECES, max(2, -(-max(hot.values()) // hot_rows)))
+    is_hot = F.xxhash64(*keys).isin(list(hot))
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
-    piece = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
-    l = (  # noqa: E741
-        left.join(F.broadcast(hot), keys, "left")
-        # a null key matches nothing; it is spread so that nulls do not pile up
-        .withColumn("_salt", F.when(F.col("_hot") | any_null, piece).otherwise(0))
-        .drop("_hot")
-    )
-    r = (
-        right.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_hot")
+    piece = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(pieces)).cast("int")
+    # a null key matches nothing; its rows are spread as well
+    l = left.withColumn("_piece", F.when(is_hot | any_null, piece).otherwise(0))  # noqa: E741
+    r = right.withColumn(
+        "_piece",
+        F.explode(
+            F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+        ),
     )
-    return l.join(r, [*keys, "_salt"], how).drop("_salt")
+    return l.join(r, [*keys, "_piece"], how).drop("_piece")
 
 
 def running_offset(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.spread import spread_join
+
 SMALL_BATCH_ROWS = 20_000
 
 CHUNK_UPDATES = ("text_content", "doc_hash")
@@ -117,6 +119,6 @@ def changed_rows(
 
 def stale_chunks(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Chunks of documents in the batch whose chunk is in the batch no more."""
-    return target.join(batch.select("doc_hash").distinct(), "doc_hash", "left_semi").join(
-        batch.select("chunk_id"), "chunk_id", "left_anti"
-    )
+    documents = batch.select("doc_hash").distinct()
+    again = spread_join(target, documents, ["doc_hash"], "left_semi", ["chunk_id"])
+    return again.join(batch.select("chunk_id"), "chunk_id", "left_anti")

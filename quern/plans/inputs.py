@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import strip_markup
 from quern.operators.spread import spread_join
+from quern.sources.tables import spread_scan
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -26,7 +27,8 @@ def clock(days: int = 0) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(
+    rows = spread_scan(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return rows.select(
         "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text"
     )
 
@@ -41,7 +43,8 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select(
+    rows = spread_scan(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return rows.select(
         F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"),
         strip_markup(F.col("html")).alias("text"),
     )

@@ -72,7 +72,8 @@ def file_scan(spark, sf_dir):
 
 @query
 def raw_to_text(spark, sf_dir):
-    return files.raw_to_text(read(spark, sf_dir, "pages"), "html", "plain").select("page_id", "plain")
+    pages = tables.spread_scan(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return files.raw_to_text(pages, "html", "plain").select("page_id", "plain")
 
 
 @query
@@ -148,12 +149,8 @@ def chunk_multipart(spark, sf_dir):
 
 @query
 def chunk_stats(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").withColumn(
-        "path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    )
-    chunks = chunking.chunk_table(
-        docs.withColumnRenamed("source", "origin"), "path", "text", keep=("origin",)
-    )
+    docs = given.documents(spark, sf_dir).withColumn("origin", F.split("path", "/")[0])
+    chunks = chunking.chunk_table(docs, "path", "text", keep=("origin",))
     return chunking.chunk_stats(chunks, ["origin"])
 
 
@@ -248,16 +245,14 @@ def cache_split(spark, sf_dir):
 
 # ---- catalog -----------------------------------------------------------------
 
-def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.schema_inventory(spark, {t: read(spark, sf_dir, t) for t in given.TABLES})
+def _frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: read(spark, sf_dir, t) for t in given.TABLES}
 
 
-def _profiles(spark: SparkSession, sf_dir: str, exact: bool, names=given.TABLES) -> DataFrame:
+def _each(frames: dict[str, DataFrame], make) -> DataFrame:
     out = None
-    for name in names:
-        one = catalog.table_profile(read(spark, sf_dir, name), exact=exact).withColumn(
-            "table_name", F.lit(name)
-        )
+    for name, df in frames.items():
+        one = make(df).withColumn("table_name", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -265,24 +260,23 @@ def _profiles(spark: SparkSession, sf_dir: str, exact: bool, names=given.TABLES)
 @query
 def schema_inventory(spark, sf_dir):
     """The inventory beside each column's row and null counts."""
-    counted = _profiles(spark, sf_dir, exact=False).select(
-        "table_name", "column_name", "n_rows", "n_nulls"
-    )
-    return _inventory(spark, sf_dir).join(counted, ["table_name", "column_name"])
+    frames = _frames(spark, sf_dir)
+    counted = _each(frames, catalog.column_counts)
+    return catalog.schema_inventory(spark, frames).join(counted, ["table_name", "column_name"])
 
 
 @query
 def schema_context(spark, sf_dir):
     """The schema text of the tables that hold rows."""
-    filled = _profiles(spark, sf_dir, exact=False).where("n_rows > 0").select("table_name").distinct()
-    return catalog.schema_context(
-        _inventory(spark, sf_dir).join(filled, "table_name", "left_semi")
-    )
+    frames = _frames(spark, sf_dir)
+    filled = _each(frames, lambda df: df.agg(F.count(F.lit(1)).alias("n"))).where("n > 0")
+    inventory = catalog.schema_inventory(spark, frames)
+    return catalog.schema_context(inventory.join(filled.select("table_name"), "table_name", "left_semi"))
 
 
 @query
 def table_profile(spark, sf_dir):
-    return _profiles(spark, sf_dir, exact=True).select(
+    return _each(_frames(spark, sf_dir), catalog.table_profile).select(
         "table_name", F.col("ordinal").cast("int").alias("ordinal"), "column_name",
         "n_rows", "n_nulls", "n_distinct", "min_value", "max_value",
     )
@@ -291,10 +285,11 @@ def table_profile(spark, sf_dir):
 @query
 def column_names(spark, sf_dir):
     """Names found in the markup of pages and the texts of documents."""
-    texts = read(spark, sf_dir, "pages").select(
+    pages = tables.spread_scan(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    texts = pages.select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("text_id"), F.col("html").alias("schema_text")
     ).unionByName(
-        read(spark, sf_dir, "documents").select(
+        given.documents(spark, sf_dir).select(
             F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), F.col("text").alias("schema_text")
         )
     )
@@ -304,7 +299,7 @@ def column_names(spark, sf_dir):
 @query
 def token_audit(spark, sf_dir):
     """Vocabulary: SQL words, columns and table names, and the words of the benchmark."""
-    inventory = _inventory(spark, sf_dir)
+    inventory = catalog.schema_inventory(spark, _frames(spark, sf_dir))
     known = inventory.select("column_name").unionByName(
         inventory.select(F.col("table_name").alias("column_name"))
     ).unionByName(
@@ -468,11 +463,11 @@ def drill_down(spark, sf_dir):
 
 @query
 def drill_down_frame(spark, sf_dir):
-    """Targets out of a table: part rows whose type or brand is among them."""
+    """Parts narrowed to the brands that come in the largest size, named in a frame."""
     parts = read(spark, sf_dir, "part")
     targets = (
-        parts.groupBy("p_brand").agg(F.max("p_size").alias("m")).where("m >= 50").select(F.col("p_brand").alias("target"))
-        .unionByName(parts.groupBy("p_type").count().where("count > 100000000").select(F.col("p_type").alias("target")))
+        parts.groupBy("p_brand").agg(F.max("p_size").alias("largest")).where("largest >= 50")
+        .select(F.col("p_brand").alias("target"))
     )
     return analytics.drill_down(parts, targets, ["p_type", "p_brand"]).select("p_partkey", "p_brand", "p_type")
 

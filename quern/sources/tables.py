@@ -24,6 +24,19 @@ def table_scan(
     return df.select(*cols) if cols else df
 
 
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan with at least one partition per core, for work that is heavy per row.
+
+    A few files with large row groups would keep most cores idle. A scan that is
+    already split more finely, as any large one is, stays as it is: no shuffle.
+    The rows go by a hash of `keys`, so that a re-run task gets the same ones.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def ensure_table(
     spark: SparkSession, name: str, schema: T.StructType, fmt: str = "parquet", **options: str
 ) -> None:
