@@ -95,6 +95,24 @@ def latest_per_key(
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def newest_rows(df: DataFrame, key: str, order_cols: Sequence[Column]) -> DataFrame:
+    """`latest_per_key` for wide rows whose keys seldom repeat.
+
+    Only the keys are shuffled to find the repeated ones. While those are few,
+    their rows alone go through the window and all others stay where they are.
+    """
+    repeated = df.groupBy(key).count().where("count > 1").select(key)
+    found = repeated.limit(SMALL_BATCH_ROWS + 1).count()
+    if found == 0:
+        return df
+    if found > SMALL_BATCH_ROWS:
+        return latest_per_key(df, key, order_cols)
+    repeated = F.broadcast(repeated)
+    single = df.join(repeated, key, "left_anti").select(*df.columns)
+    several = df.join(repeated, key, "left_semi").select(*df.columns)
+    return single.unionByName(latest_per_key(several, key, order_cols))
+
+
 def changed_rows(
     target: DataFrame, batch: DataFrame, key: str, content_cols: Sequence[str]
 ) -> DataFrame:

@@ -24,34 +24,43 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
-def log_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+def log_schema(schema: T.StructType, versions: Sequence[str]) -> T.StructType:
+    """The table's columns, the version columns its rows carry, and the batch."""
+    extra = [T.StructField(c, T.LongType()) for c in (*versions, BATCH)]
+    return T.StructType([*schema.fields, *extra])
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All rows with their `batch_id`; no rows while nothing is written."""
-    full = log_schema(schema)
+def current(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    key: str,
+    update_cols: Sequence[str],
+    versions: Sequence[str],
+) -> DataFrame:
+    """The table as of now; empty while nothing is written.
+
+    Rows are ordered by their versions first and by batch second, so it does not
+    matter in which batch the source happened to hand over a version. Rows of a
+    key are first merged within each task.
+    """
+    full = log_schema(schema, versions)
     try:
-        return spark.read.schema(full).parquet(path)
+        rows = spark.read.schema(full).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], full)
-
-
-def current(
-    spark: SparkSession, path: str, schema: T.StructType, key: str, update_cols: Sequence[str]
-) -> DataFrame:
-    """The table as of now. Rows of a key are first merged within each task."""
-    rest = [f.name for f in schema.fields if f.name != key]
+        rows = spark.createDataFrame([], full)
+    order = F.struct(*versions, BATCH)
+    rest = [c for c in schema.fieldNames() if c != key]
     new = [c for c in rest if c in set(update_cols)]
     old = [c for c in rest if c not in set(update_cols)]
     aggs = []
     if new:
-        aggs.append(F.max_by(F.struct(*new), BATCH).alias("_new"))
+        aggs.append(F.max_by(F.struct(*new), order).alias("_new"))
     if old:
-        aggs.append(F.min_by(F.struct(*old), BATCH).alias("_old"))
-    grouped = read_log(spark, path, schema).groupBy(key).agg(*aggs)
+        aggs.append(F.min_by(F.struct(*old), order).alias("_old"))
+    grouped = rows.groupBy(key).agg(*aggs)
     return grouped.select(
         *[
             F.col(c) if c == key else F.col("_new" if c in new else "_old")[c].alias(c)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quern.fixed import CHUNK_SCHEMA, ERROR_LOG_SCHEMA
 from quern.operators.chunking import chunk_table
 from quern.operators.retrieval import embed_chunks
-from quern.operators.upsert import CHUNK_UPDATES, changed_rows, latest_per_key
+from quern.operators.upsert import CHUNK_UPDATES, changed_rows, newest_rows
 from quern.sources.tables import error_rows, require_keys
 from quern.streaming import change_log
 
@@ -23,6 +23,8 @@ INDEX_SCHEMA = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 INDEX_UPDATES = ("content_hash", "tf", "embedding")
+CHUNK_VERSIONS = ("revision",)
+INDEX_VERSIONS = ("revision", "chunk_batch")
 # Incoming documents: path, text, and a revision number that orders copies of a path.
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -43,15 +45,15 @@ def stream_ingest(
 ) -> StreamingQuery:
     """New document files below `src` become chunks in `table`, each once.
 
-    Of several revisions of a path in one micro-batch the highest counts.
+    Of several revisions of a path the highest counts, in whatever order they come.
     """
     documents = (
         spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(src)
     )
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_per_key(batch, "path", [F.desc("revision"), F.desc("text")])
-        chunks = require_keys(chunk_table(newest, "path", "text"), "chunk_id")
+        newest = newest_rows(batch, "path", [F.desc("revision"), F.desc("text")])
+        chunks = require_keys(chunk_table(newest, "path", "text", keep=CHUNK_VERSIONS), "chunk_id")
         change_log.write_batch(chunks, table, batch_id)
 
     return _start(documents, add, checkpoint, trigger)
@@ -59,16 +61,18 @@ def stream_ingest(
 
 def chunk_rows(spark: SparkSession, table: str) -> DataFrame:
     """The chunk table as `stream_ingest` has left it."""
-    return change_log.current(spark, table, CHUNK_SCHEMA, "chunk_id", CHUNK_UPDATES)
+    return change_log.current(
+        spark, table, CHUNK_SCHEMA, "chunk_id", CHUNK_UPDATES, CHUNK_VERSIONS
+    )
 
 
-def index_rows(chunks: DataFrame) -> DataFrame:
+def index_rows(chunks: DataFrame, versions: Sequence[str] = ()) -> DataFrame:
     """Vectors of chunks, with the hash of the text they were made from."""
-    hashed = chunks.select(
-        "chunk_id", F.md5("text_content").alias("content_hash"), "text_content"
+    named = chunks.select(
+        F.struct("chunk_id", F.md5("text_content").alias("content_hash"), *versions).alias("id"),
+        "text_content",
     )
-    vectors = embed_chunks(hashed.select(F.struct("chunk_id", "content_hash").alias("id"), "text_content"), "id", "text_content")
-    return vectors.select("id.chunk_id", "id.content_hash", "tf", "embedding")
+    return embed_chunks(named, "id", "text_content").select("id.*", "tf", "embedding")
 
 
 def stream_index_sync(
@@ -81,25 +85,28 @@ def stream_index_sync(
 ) -> StreamingQuery:
     """Chunks that `stream_ingest` adds below `src` get their vectors in `table`.
 
-    Of several rows of a chunk in one micro-batch the newest is embedded. The
-    file source may hand over files of different batches out of order only within
-    one micro-batch, where their `batch_id` orders them.
+    Of several rows of a chunk the newest counts, in whatever order they come.
     """
     chunks = (
-        spark.readStream.schema(change_log.log_schema(CHUNK_SCHEMA))
+        spark.readStream.schema(change_log.log_schema(CHUNK_SCHEMA, CHUNK_VERSIONS))
         .option("maxFilesPerTrigger", max_files)
         .parquet(src)
+        .withColumnRenamed(change_log.BATCH, "chunk_batch")
     )
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_per_key(batch, "chunk_id", [F.desc(change_log.BATCH), F.desc("text_content")])
-        change_log.write_batch(index_rows(newest), table, batch_id)
+        newest = newest_rows(
+            batch, "chunk_id", [*(F.desc(v) for v in INDEX_VERSIONS), F.desc("text_content")]
+        )
+        change_log.write_batch(index_rows(newest, INDEX_VERSIONS), table, batch_id)
 
     return _start(chunks, add, checkpoint, trigger)
 
 
 def synced_index(spark: SparkSession, table: str) -> DataFrame:
-    return change_log.current(spark, table, INDEX_SCHEMA, "chunk_id", INDEX_UPDATES)
+    return change_log.current(
+        spark, table, INDEX_SCHEMA, "chunk_id", INDEX_UPDATES, INDEX_VERSIONS
+    )
 
 
 def index_resync(chunks: DataFrame, index: DataFrame) -> DataFrame:

@@ -1,0 +1,112 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern import fixed
+from quern.functions.text import year_pair
+from quern.operators import analytics, catalog, sql_text
+
+
+def test_inventory_of_a_catalog_schema_skips_views(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop")
+    spark.sql("CREATE TABLE shop.sold (id BIGINT, at DATE, day STRING) USING parquet PARTITIONED BY (day)")
+    spark.range(1).createOrReplaceTempView("not_a_table")
+    got = [tuple(r) for r in catalog.schema_inventory(spark, "shop").orderBy("ordinal").collect()]
+    assert got == [("sold", 0, "id", "bigint"), ("sold", 1, "at", "date"), ("sold", 2, "day", "string")]
+    text = catalog.schema_context(catalog.schema_inventory(spark, "shop")).first()["schema_text"]
+    assert text == "Table 'sold': id (bigint), at (date), day (string)"
+
+
+def test_column_pattern_is_lossy_as_stated(spark):
+    text = "Table 't': id (int), price (decimal(10,2)), name (varchar(20)), tags (array<string>), grün (int)"
+    got = {r["column_name"] for r in catalog.column_names(spark.createDataFrame([(text,)], "t string"), "t").collect()}
+    assert {"id", "varchar"} <= got and "price" not in got and "tags" not in got
+
+
+def test_token_audit(spark):
+    columns = spark.createDataFrame([("a",), ("total",), ("größe",)], "column_name string")
+    texts = {
+        "clean": "SELECT a, SUM(total) AS total FROM a WHERE a = 'free text' -- comment words\nLIMIT 5",
+        "case": "select A from a",
+        "unknown": "SELECT zz, bb, größe FROM a",
+        "empty": "",
+    }
+    df = spark.createDataFrame(list(texts.items()), "query_id string, query_text string")
+    got = {r["query_id"]: r for r in catalog.token_audit(df, catalog.sql_vocabulary(spark, columns)).collect()}
+    assert {k: (r["first_unknown"], r["n_unknown"]) for k, r in got.items()} == {
+        "clean": (None, 0), "case": ("A", 1), "unknown": ("bb", 2), "empty": (None, 0),
+    }
+    assert got["unknown"]["message"] == fixed.UNKNOWN_COLUMN.format(name="bb") and got["clean"]["message"] is None
+
+
+def test_profile_of_odd_columns(spark):
+    df = spark.createDataFrame([(1, None, [1]), (1, None, None), (None, None, [1])], "a int, b string, c array<int>")
+    got = {r["column_name"]: r for r in catalog.table_profile(df).collect()}
+    assert (got["a"]["n_rows"], got["a"]["n_nulls"], got["a"]["n_distinct"], got["a"]["min_value"]) == (3, 1, 1, "1")
+    assert (got["b"]["n_nulls"], got["b"]["n_distinct"], got["b"]["max_value"]) == (3, 0, None)
+    assert (got["c"]["n_nulls"], got["c"]["n_distinct"]) == (1, 1)
+    empty = {r["column_name"]: r["n_rows"] for r in catalog.table_profile(df.where("a > 5")).collect()}
+    assert empty == {"a": 0, "b": 0, "c": 0}
+    counts = {r["column_name"]: r["n_nulls"] for r in catalog.column_counts(df).collect()}
+    assert counts == {"a": 1, "b": 3, "c": 1}
+
+
+def test_run_sql_attempts(spark):
+    calls = []
+
+    def correct(text, error):
+        calls.append(error)
+        return "SELECT 2 AS x"
+
+    good = sql_text.run_sql(spark, "SELECT 1 AS x", correct)
+    assert [r["x"] for r in good.rows.collect()] == [1] and not calls
+    fixed_up = sql_text.run_sql(spark, "SELECT nope", correct)
+    assert fixed_up.sql == "SELECT 2 AS x" and [r["x"] for r in fixed_up.rows.collect()] == [2] and len(calls) == 1
+    late = sql_text.run_sql(spark, "SELECT CAST('01-08-2025' AS DATE) AS d", correct)
+    assert late.rows is not None and len(calls) == 2
+    failed = sql_text.run_sql(spark, "SELECT nope", lambda t, e: "SELECT nope2")
+    assert failed.rows is None and failed.error.startswith("Failed to execute SQL query after correction: ") and "nope2" in failed.error
+    assert sql_text.run_sql(spark, "SELECT nope").rows is None
+    assert sql_text.run_sql(spark, "SELECT * FROM range(500)").rows.count() == 100
+
+
+def test_result_text(spark):
+    df = spark.createDataFrame([(1, "b", None), (1, "a", 2), (2, "c", 3)], "k int, x string, y int")
+    got = {r["k"]: r["sql_result"] for r in sql_text.result_text(df, ["k"], ["x"]).collect()}
+    assert got == {1: '{"x":"a","y":2}\n{"x":"b","y":null}', 2: '{"x":"c","y":3}'}
+
+
+def test_day_and_year_filters_reach_the_files(spark, small_dir, plan):
+    lines = spark.read.parquet(f"{small_dir}/lineitem.parquet")
+    day = plan(analytics.top_k(lines, "l_suppkey", F.sum("l_quantity"), 3, analytics.on_day("l_shipdate", dt.date(1998, 8, 1))))
+    assert "GreaterThanOrEqual(l_shipdate" in day and "TakeOrderedAndProject" in day
+    year = plan(lines.where(analytics.in_year("l_shipdate", 1997)).select("l_suppkey"))
+    assert "LessThan(l_shipdate" in year and "ReadSchema: struct<l_suppkey:bigint,l_shipdate:timestamp_ntz>" in year
+
+
+def test_zero_base_and_missing_period(spark):
+    df = spark.createDataFrame([("a", dt.datetime(2024, 5, 1), 3), ("b", dt.datetime(2023, 1, 1), 4), ("b", dt.datetime(2024, 1, 1), 5)], "k string, t timestamp_ntz, v int")
+    got = {r["k"]: (r["value_a"], r["value_b"], r["difference"], r["percent"]) for r in analytics.period_compare(df, "t", ["k"], F.col("v"), 2024, 2023).collect()}
+    assert got == {"a": (3, 0, 3, None), "b": (5, 4, 1, 25.0)}
+
+
+def test_period_texts(spark):
+    df = spark.createDataFrame([("2024 vs 2023",), ("2024 vs. 2022 sales",), ("last year",)], "t string")
+    a, b = year_pair(F.col("t"))
+    assert [tuple(r) for r in df.select(a, b).collect()] == [(2024, 2023), (2024, 2022), (None, None)]
+
+
+def test_rolling_spans(spark):
+    rows = [(dt.datetime(2024, m, 15), 10 ** i) for i, m in enumerate([1, 6, 7, 12])] + [(dt.datetime(2023, 12, 31), 7)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, v long")
+    r = analytics.rolling_compare(df, "t", [], F.col("v")).first()
+    assert (r["recent_value"], r["prior_value"]) == (1100, 11)
+
+
+@pytest.mark.parametrize("as_frame", [True, False])
+def test_drill_down_keeps_a_row_once(spark, as_frame):
+    df = spark.createDataFrame([("x", "y", 1), ("x", "x", 2), (None, "y", 3), ("z", None, 4)], "a string, b string, n int")
+    targets = spark.createDataFrame([("x",), ("y",), ("y",), (None,)], "target string") if as_frame else ["x", "y"]
+    got = sorted(r["n"] for r in analytics.drill_down(df, targets, ["a", "b"]).collect())
+    assert got == [1, 2, 3]

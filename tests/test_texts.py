@@ -1,0 +1,167 @@
+"""Conversations, intents, screening and responses."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern import fixed
+from quern.operators import conversation, intent, responses, screening
+from quern.operators.intent import audio_name
+
+
+@pytest.mark.parametrize("page_turns", [1, 3, 4096])
+def test_history_pages_join_to_the_whole(spark, page_turns):
+    turns = [("s", i, "user" if i % 2 else "assistant", f"text {i}\nmore") for i in range(8)] + [("t", 5, "user", "")]
+    df = spark.createDataFrame(turns, "session_id string, turn long, role string, text string").repartition(4)
+    got = conversation.history_text(df, page_turns).orderBy("session_id", "page").collect()
+    whole = "".join(r["history"] for r in got if r["session_id"] == "s")
+    assert whole == fixed.HISTORY_HEADING + "\n".join(f"{r}: {t}" for s, _, r, t in turns if s == "s")
+    assert [r["last_page"] for r in got if r["session_id"] == "s"].count(True) == 1
+    assert [r["page"] for r in got if r["session_id"] == "t"] == [0]
+    if page_turns == 4096:
+        assert len(got) == 2
+
+
+def test_history_append(spark):
+    schema = "session_id string, turn long, role string, text string"
+    old = spark.createDataFrame([("s", 0, "user", "a"), ("s", 1, "assistant", "b")], schema)
+    new = spark.createDataFrame([("s", 50, "user", "c"), ("s", 90, "assistant", "d"), ("n", 7, "user", "e")], schema)
+    got = sorted((r["session_id"], r["turn"], r["text"]) for r in conversation.history_append(old, new).collect())
+    assert got == [("n", 0, "e"), ("s", 0, "a"), ("s", 1, "b"), ("s", 2, "c"), ("s", 3, "d")]
+
+
+def test_context_sections(spark):
+    rows = [(1, "H", "D", "R"), (2, None, "D", ""), (3, "", None, "R"), (4, None, "", None)]
+    df = spark.createDataFrame(rows, "id int, history string, rag_result string, sql_result string")
+    got = {r["id"]: (r["engineered_context"], r["error"]) for r in conversation.context_block(df).collect()}
+    d, r = fixed.DOCUMENTS_HEADING + "D", fixed.RESULT_HEADING + "R"
+    assert got[1] == (fixed.SECTION_BREAK.join(["H", d, r]), None)
+    assert got[2] == (d, None) and got[3] == (r, None)
+    assert got[4] == (None, fixed.NO_CONTEXT)
+
+
+def test_context_pages_join_to_the_whole(spark):
+    turns = spark.createDataFrame([("s", i, "user", str(i)) for i in range(5)], "session_id string, turn long, role string, text string")
+
+    def whole(page_turns):
+        pages = conversation.history_text(turns, page_turns).withColumn("rag_result", F.lit("D")).withColumn("sql_result", F.lit("R"))
+        rows = conversation.context_block(pages).orderBy("page").collect()
+        return "".join(r["engineered_context"] for r in rows)
+
+    assert whole(2) == whole(4096)
+
+
+def test_prompt_marks_inside_values_stay(spark):
+    df = spark.createDataFrame([("{error}", None)], "a string, b string")
+    got = conversation.prompt_render(df, "<{x}|{y}|{x}>", {"x": "a", "y": "b"}, "p").first()["p"]
+    assert got == "<{error}||{error}>"
+    fix = conversation.prompt_render(df, fixed.ERROR_TEMPLATE, {"error": "a"}, "p").first()["p"]
+    assert "{error}. Please" in fix
+
+
+INTENTS = {
+    '{"intent":"DrillDown","filter_targets":["New York"],"comparison_periods":[],"visualization":false}': "drilldown",
+    "not json": "descriptive",
+    '["Voice"]': "descriptive",
+    '{"intent":null}': "descriptive",
+    '{"intent":5}': "descriptive",
+    '{"intent":["Voice"]}': "descriptive",
+    '{"intent":"Voice"} and so on': "voice",
+    "": "descriptive",
+    None: "descriptive",
+    "{}": "descriptive",
+    '{"intent":"Forecast"}': "forecast",
+}
+
+
+def test_intent_parse_and_route(spark):
+    df = spark.createDataFrame([(t,) for t in INTENTS], "j string")
+    got = {r["j"]: r for r in intent.route(intent.intent_parse(df, "j")).collect()}
+    assert {j: r["intent"] for j, r in got.items()} == INTENTS
+    first = got[next(iter(INTENTS))]
+    assert first["filter_targets"] == ["New York"] and first["visualization"] is False
+    assert got['{"intent":"Forecast"}']["known_intent"] is False
+    assert got['{"intent":"Forecast"}']["route"] == "sql"
+    assert got['{"intent":"Voice"} and so on']["route"] == "voice"
+
+
+QUESTIONS = {
+    "Show New York shipments only.": ("drilldown", ["New York"], [], False),
+    "Compare 2024 vs 2023 total sales.": ("analytical", [], ["2024 vs 2023"], False),
+    "Summarize the project alpha review document.": ("unstructured", [], [], False),
+    "Show trend of quantity sold over time.": ("visualization", [], [], True),
+    "Summarize the meeting_notes.mp3 audio file.": ("voice", [], [], False),
+    "Match the reports with the orders table.": ("mixed", [], [], False),
+    "How many parts are there?": ("descriptive", [], [], False),
+    "Compare last 6 months vs prior 6 months of sales": ("analytical", [], ["last 6 months vs prior 6 months"], False),
+}
+
+
+def test_intent_rules(spark):
+    df = spark.createDataFrame([(q,) for q in QUESTIONS], "q string")
+    got = {
+        r["q"]: (r["intent"], r["filter_targets"], r["comparison_periods"], r["visualization"])
+        for r in intent.intent_rules(df, "q").collect()
+    }
+    assert got == QUESTIONS
+
+
+AUDIO = {
+    "play a.mp3 now": "a.mp3",
+    "play 'b c.wav'": "c.wav",
+    'play "x.flac"': "x.flac",
+    "play A.MP3": None,
+    "play dir/a.wav": "a.wav",
+    "play n.mp3x": "n.mp3",
+    "one.m4a and two.wav": "one.m4a",
+    "none": None,
+    None: None,
+}
+
+
+def test_audio_names_and_manifest(spark):
+    df = spark.createDataFrame([(t,) for t in AUDIO], "t string")
+    assert {r["t"]: r["a"] for r in df.select("t", audio_name(F.col("t")).alias("a")).collect()} == AUDIO
+    files = spark.createDataFrame([("file:/data/a.mp3",), ("/other/a.mp3",), ("/x/one.m4a",)], "path string")
+    got = {r["t"]: (r["audio_present"], r["error"]) for r in intent.audio_manifest_check(intent.audio_mentions(df, "t"), files).collect()}
+    assert len(got) == len(AUDIO)
+    assert got["play a.mp3 now"] == (True, None)
+    assert got["none"] == (False, fixed.NO_AUDIO_NAME)
+    assert got["play n.mp3x"] == (False, "Audio file 'n.mp3' not found in the configured data path.")
+
+
+def test_verdicts(spark):
+    texts = ["yes", "No", " YES. ", "eyes", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    loose = {r["i"]: r["safe"] for r in screening.verdict_parse(df, "v").collect()}
+    strict = {r["i"]: r["safe"] for r in screening.verdict_parse(df, "v", strict=True).collect()}
+    assert list(loose.values()) == [False, True, False, False, True, True]
+    assert strict == {**loose, 3: True}
+
+
+def test_screening(spark):
+    asked = spark.createDataFrame([("1", "s", "bad"), ("2", "s", "good"), ("3", "s", "unjudged")], "question_id string, session_id string, user_query string")
+    verdicts = spark.createDataFrame([("1", "yes"), ("2", "no")], "question_id string, verdict string")
+    passed, errors = screening.screen_input(asked, verdicts)
+    assert sorted(r["question_id"] for r in passed.collect()) == ["2", "3"]
+    record = json.loads(errors.first()["final_response"])
+    assert record == {"response_type": "error", "session_id": "s", "user_query": "bad", "error_message": fixed.INPUT_BLOCKED, "suggested_fix": None}
+    out = screening.filter_output(asked.withColumn("final_response", F.col("user_query")), verdicts)
+    assert {r["question_id"]: r["final_response"] for r in out.collect()} == {"1": fixed.OUTPUT_BLOCKED, "2": "good", "3": "unjudged"}
+
+
+def test_every_kind_of_response_round_trips(spark):
+    df = spark.createDataFrame(
+        [("s", 'q "1"\n', "c", ["a", "b"], "sum", "SELECT 1", "t", "syn", ["r"], "msg", "tr")],
+        "session_id string, user_query string, rag_content string, sources array<string>, summary string, sql_query string, "
+        "tabular_result string, synthesized_answer string, rag_sources array<string>, error_message string, transcription string",
+    )
+    for kind, names in fixed.RESPONSE_FIELDS.items():
+        text = responses.response_json(df, kind).first()["final_response"]
+        assert list(json.loads(text)) == ["response_type", "session_id", "user_query", *names]
+        back = responses.response_parse(spark.createDataFrame([(1, text)], "id int, j string"), "j").first()
+        source = df.first()
+        assert back["response_type"] == kind and back["id"] == 1
+        for n in names:
+            assert back[n] == (source[n] if n in df.columns else None)
