@@ -6,18 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.operators.spread import spread_join
 
+# What may be sent to every task: this many rows of this many characters in all.
 SMALL_BATCH_ROWS = 20_000
+SMALL_BATCH_CHARS = 64_000_000
 
 CHUNK_UPDATES = ("text_content", "doc_hash")
 CACHE_UPDATES = ("final_response", "session_id", "timestamp")
 
 
-def is_small(df: DataFrame, rows: int) -> bool:
-    """Whether `df` holds at most `rows` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int | None = None, chars: int | None = None) -> bool:
+    """Whether `df` is within both bounds; reads no more than one row beyond them."""
+    rows = SMALL_BATCH_ROWS if rows is None else rows
+    chars = SMALL_BATCH_CHARS if chars is None else chars
+    size = F.lit(0)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            size = size + F.coalesce(F.length(f.name), F.lit(0))
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("s"))
+    n, total = seen.first()
+    return n <= rows and (total or 0) <= chars
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """`df`, marked for broadcast if it is small; otherwise joins shuffle it."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def upsert(
@@ -32,12 +48,12 @@ def upsert(
     On a known key `update_cols` come from the batch, even when null, and all
     other columns stay. Both sides hold a key at most once (`latest_per_key`).
 
-    A small batch leaves the target where it lies: it is joined to it without
-    moving it, and the target is read once more for its keys alone. A large one
-    takes a full outer join, which moves each side once.
+    A batch of checked size is sent to the target, which stays where it lies and
+    is read once more for its keys alone; the keys known to both are no more than
+    the batch. A larger batch takes a full outer join, which moves each side once.
     """
     if small_batch is None:
-        small_batch = is_small(batch.select(key), SMALL_BATCH_ROWS)
+        small_batch = is_small(batch.select(key, *update_cols))
     cols = target.columns
     update = set(update_cols)
 
@@ -45,7 +61,7 @@ def upsert(
         changes = batch.select(
             F.col(key), F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in update_cols]
         )
-        kept = target.join(changes, key, "left").select(
+        kept = target.join(F.broadcast(changes), key, "left").select(
             *[
                 F.when(F.col("_known"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
                 if c in update
@@ -53,8 +69,8 @@ def upsert(
                 for c in cols
             ]
         )
-        known = target.select(key).join(batch.select(key), key, "left_semi")
-        new = batch.select(*cols).join(known, key, "left_anti")
+        known = target.select(key).join(F.broadcast(batch.select(key)), key, "left_semi")
+        new = batch.select(*cols).join(F.broadcast(known), key, "left_anti")
         return kept.unionByName(new)
 
     t = target.select(F.col(key), F.struct(*cols).alias("_old"))

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from quern.fixed import CHUNK_SCHEMA, ERROR_LOG_SCHEMA
 from quern.operators.chunking import chunk_table
 from quern.operators.retrieval import embed_chunks
-from quern.operators.upsert import CHUNK_UPDATES, changed_rows, newest_rows
+from quern.operators.upsert import CHUNK_UPDATES, newest_rows, small_side
+from quern.session import written
 from quern.sources.tables import error_rows, require_keys
 from quern.streaming import change_log
 
@@ -113,13 +114,18 @@ def index_resync(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """The index after a full reconcile with the chunk table.
 
     Vectors of unchanged chunks are kept, changed and new chunks are embedded, and
-    vectors without a chunk go.
+    vectors without a chunk go. Only keys and hashes are compared; while the
+    differences are few, neither texts nor vectors are moved.
     """
-    now = chunks.select("chunk_id", F.md5("text_content").alias("content_hash"))
-    changes = changed_rows(index, now, "chunk_id", ["content_hash"])
-    kept = index.join(changes.where("change = 'unchanged'").select("chunk_id"), "chunk_id", "left_semi")
-    todo = chunks.join(changes.where("change <> 'unchanged'").select("chunk_id"), "chunk_id", "left_semi")
-    return kept.select(*INDEX_SCHEMA.fieldNames()).unionByName(index_rows(todo))
+    now = chunks.select("chunk_id", F.md5("text_content").alias("now"))
+    then = index.select("chunk_id", F.col("content_hash").alias("then"))
+    different = written(
+        now.join(then, "chunk_id", "full").where(~F.col("now").eqNullSafe(F.col("then"))), "differences"
+    )
+    leave = small_side(different.where("then is not null").select("chunk_id"))
+    renew = small_side(different.where("now is not null").select("chunk_id"))
+    kept = index.join(leave, "chunk_id", "left_anti").select(*INDEX_SCHEMA.fieldNames())
+    return kept.unionByName(index_rows(chunks.join(renew, "chunk_id", "left_semi")))
 
 
 def stream_error_log(
