@@ -19,16 +19,19 @@ CACHE_UPDATES = ("final_response", "session_id", "timestamp")
 
 
 def is_small(df: DataFrame, rows: int | None = None, chars: int | None = None) -> bool:
-    """Whether `df` is within both bounds; reads no more than one row beyond them."""
+    """Whether `df` is within both bounds.
+
+    Only row lengths are fetched, and `take` looks at more partitions only until
+    the bound is passed; a limit under an aggregate would run all of them.
+    """
     rows = SMALL_BATCH_ROWS if rows is None else rows
     chars = SMALL_BATCH_CHARS if chars is None else chars
     size = F.lit(0)
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType):
             size = size + F.coalesce(F.length(f.name), F.lit(0))
-    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("s"))
-    n, total = seen.first()
-    return n <= rows and (total or 0) <= chars
+    seen = df.select(size.cast("bigint")).take(rows + 1)
+    return len(seen) <= rows and sum(r[0] for r in seen) <= chars
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -118,10 +121,9 @@ def newest_rows(df: DataFrame, key: str, order_cols: Sequence[Column]) -> DataFr
     their rows alone go through the window and all others stay where they are.
     """
     repeated = df.groupBy(key).count().where("count > 1").select(key)
-    found = repeated.limit(SMALL_BATCH_ROWS + 1).count()
-    if found == 0:
+    if repeated.isEmpty():
         return df
-    if found > SMALL_BATCH_ROWS:
+    if not is_small(repeated):
         return latest_per_key(df, key, order_cols)
     repeated = F.broadcast(repeated)
     single = df.join(repeated, key, "left_anti").select(*df.columns)

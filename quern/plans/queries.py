@@ -25,7 +25,7 @@ from quern.operators import (
 from quern.plans import answer_flow as flow
 from quern.plans import inputs as given
 from quern.plans.inputs import read
-from quern.session import apply_settings, new_folder
+from quern.session import apply_settings, new_folder, written
 from quern.sources import files, tables
 from quern.streaming import jobs
 
@@ -245,10 +245,6 @@ def cache_split(spark, sf_dir):
 
 # ---- catalog -----------------------------------------------------------------
 
-def _frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: read(spark, sf_dir, t) for t in given.TABLES}
-
-
 def _each(frames: dict[str, DataFrame], make) -> DataFrame:
     out = None
     for name, df in frames.items():
@@ -260,7 +256,7 @@ def _each(frames: dict[str, DataFrame], make) -> DataFrame:
 @query
 def schema_inventory(spark, sf_dir):
     """The inventory beside each column's row and null counts."""
-    frames = _frames(spark, sf_dir)
+    frames = given.discover(spark, sf_dir)
     counted = _each(frames, catalog.column_counts)
     return catalog.schema_inventory(spark, frames).join(counted, ["table_name", "column_name"])
 
@@ -268,7 +264,7 @@ def schema_inventory(spark, sf_dir):
 @query
 def schema_context(spark, sf_dir):
     """The schema text of the tables that hold rows."""
-    frames = _frames(spark, sf_dir)
+    frames = given.discover(spark, sf_dir)
     filled = _each(frames, lambda df: df.agg(F.count(F.lit(1)).alias("n"))).where("n > 0")
     inventory = catalog.schema_inventory(spark, frames)
     return catalog.schema_context(inventory.join(filled.select("table_name"), "table_name", "left_semi"))
@@ -276,7 +272,7 @@ def schema_context(spark, sf_dir):
 
 @query
 def table_profile(spark, sf_dir):
-    return _each(_frames(spark, sf_dir), catalog.table_profile).select(
+    return _each(given.discover(spark, sf_dir), catalog.table_profile).select(
         "table_name", F.col("ordinal").cast("int").alias("ordinal"), "column_name",
         "n_rows", "n_nulls", "n_distinct", "min_value", "max_value",
     )
@@ -299,7 +295,7 @@ def column_names(spark, sf_dir):
 @query
 def token_audit(spark, sf_dir):
     """Vocabulary: SQL words, columns and table names, and the words of the benchmark."""
-    inventory = catalog.schema_inventory(spark, _frames(spark, sf_dir))
+    inventory = catalog.schema_inventory(spark, given.discover(spark, sf_dir))
     known = inventory.select("column_name").unionByName(
         inventory.select(F.col("table_name").alias("column_name"))
     ).unionByName(
@@ -749,8 +745,9 @@ def stream_index_sync(spark, sf_dir):
 @query
 def index_resync(spark, sf_dir):
     """The index of the documents, brought to the chunks after the upsert."""
-    old = jobs.index_rows(_chunks(spark, sf_dir))
-    now = upsert.upsert_chunks(_chunks(spark, sf_dir), _arrived(spark, sf_dir))
+    before = written(_chunks(spark, sf_dir), "chunks")
+    old = written(jobs.index_rows(before), "index")
+    now = written(upsert.upsert_chunks(before, _arrived(spark, sf_dir)), "chunks")
     return retrieval.sparse_terms(jobs.index_resync(now, old), "chunk_id").drop("weight")
 
 
