@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 HOT_KEYS = 256
 MAX_PIECES = 1024
-BLOCK = 4096
+# Positions per block of a running total: a block fits a task, and so do the block
+# totals of a group with a million million positions.
+BLOCK = 65_536
 
 
 def frequent_keys(df: DataFrame, keys: Sequence[str], rows: int) -> dict[int, int]:

@@ -57,23 +57,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _revised(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents come again: good ones changed, the others shorter."""
-    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
     text = F.when(F.col("quality") == 1, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(
         F.replace("text", F.lit(" "), F.lit(""))
     )
-    return documents(spark, sf_dir).join(labels, "doc_id").select("doc_id", "path", text.alias("text"))
+    return docs.join(labels.select("doc_id", "quality"), "doc_id").select(
+        "doc_id", "path", text.alias("text")
+    )
 
 
-def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread_scan(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    return rows.select(
+def _from_pages(pages: DataFrame) -> DataFrame:
+    return pages.select(
         F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"),
         strip_markup(F.col("html")).alias("text"),
     )
 
 
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _revised(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread_scan(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return _from_pages(rows)
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream. The glob fits one file as well as a folder of files."""
+    return spark.readStream.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text, revision): documents and pages, and labelled documents once more."""
+    docs = streamed(spark, sf_dir, "documents").select(
+        "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text"
+    )
+    again = _revised(docs, read(spark, sf_dir, "labels")).select("path", "text")
+    first, second = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    return (
+        docs.select("path", "text", first.alias("revision"))
+        .unionByName(again.withColumn("revision", second))
+        .unionByName(_from_pages(streamed(spark, sf_dir, "pages")).withColumn("revision", first))
+    )
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second ingest brings: revised documents and pages not seen before."""
     return revisions(spark, sf_dir).select("path", "text").unionByName(page_documents(spark, sf_dir))

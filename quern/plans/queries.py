@@ -62,12 +62,9 @@ def _arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_scan(spark, sf_dir):
-    found = files.file_scan(spark, sf_dir, [".PARQUET"])
-    return found.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        "length",
-        F.md5("content").alias("content_md5"),
-    )
+    """The files of the given tables, be a table one file or a folder; no body is read."""
+    found = files.file_scan(spark, f"{sf_dir}/*.parquet*", [".PARQUET"])
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
 
 
 @query
@@ -719,13 +716,9 @@ def _run(stream) -> None:
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> str:
-    """Documents, then what arrives later, streamed into a chunk table; its path."""
-    src, table = new_folder(spark, "incoming"), new_folder(spark, "chunks")
-    checkpoint = new_folder(spark, "checkpoint")
-    first = given.documents(spark, sf_dir).select("path", "text")
-    for revision, drop in enumerate((first, given.arrivals(spark, sf_dir))):
-        drop.withColumn("revision", F.lit(revision).cast("bigint")).write.mode("append").parquet(src)
-        _run(jobs.stream_ingest(spark, src, table, checkpoint))
+    """Documents, their revisions and pages streamed into a chunk table; its path."""
+    table = new_folder(spark, "chunks")
+    _run(jobs.ingest_stream(given.document_stream(spark, sf_dir), table, new_folder(spark, "checkpoint")))
     return table
 
 
@@ -753,10 +746,7 @@ def index_resync(spark, sf_dir):
 
 @query
 def stream_error_log(spark, sf_dir):
-    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).option(
-        "pathGlobFilter", "events.parquet"
-    ).parquet(sf_dir)
-    errors = events.where("event_type = 'error'").select(
+    errors = given.streamed(spark, sf_dir, "events").where("event_type = 'error'").select(
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.col("user_id").cast("string").alias("session_id"),
         F.col("props").alias("user_query"),

@@ -51,15 +51,15 @@ def current(
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], full)
-    order = F.struct(*versions, BATCH)
     rest = [c for c in schema.fieldNames() if c != key]
     new = [c for c in rest if c in set(update_cols)]
     old = [c for c in rest if c not in set(update_cols)]
+    # the values themselves come last in the order, so that no tie is left to chance
     aggs = []
     if new:
-        aggs.append(F.max_by(F.struct(*new), order).alias("_new"))
+        aggs.append(F.max(F.struct(*versions, BATCH, *new)).alias("_new"))
     if old:
-        aggs.append(F.min_by(F.struct(*old), order).alias("_old"))
+        aggs.append(F.min(F.struct(*versions, BATCH, *old)).alias("_old"))
     grouped = rows.groupBy(key).agg(*aggs)
     return grouped.select(
         *[

@@ -36,6 +36,23 @@ DOCUMENT_SCHEMA = T.StructType([
 ONCE: Mapping[str, object] = {"availableNow": True}
 
 
+def ingest_stream(
+    documents: DataFrame, table: str, checkpoint: str, trigger: Mapping[str, object] = ONCE
+) -> StreamingQuery:
+    """A stream of (path, text, revision) becomes chunks in `table`, each row once.
+
+    Every revision is chunked as it comes, without a shuffle, and the highest
+    counts per chunk: the table is the same however the stream was cut into
+    micro-batches. A path and revision come with one text.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        chunks = require_keys(chunk_table(batch, "path", "text", keep=CHUNK_VERSIONS), "chunk_id")
+        change_log.write_batch(chunks, table, batch_id)
+
+    return _start(documents, add, checkpoint, trigger)
+
+
 def stream_ingest(
     spark: SparkSession,
     src: str,
@@ -44,20 +61,11 @@ def stream_ingest(
     trigger: Mapping[str, object] = ONCE,
     max_files: int = 1000,
 ) -> StreamingQuery:
-    """New document files below `src` become chunks in `table`, each once.
-
-    Of several revisions of a path the highest counts, in whatever order they come.
-    """
+    """`ingest_stream` over the Parquet files that arrive below `src`."""
     documents = (
         spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(src)
     )
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        newest = newest_rows(batch, "path", [F.desc("revision"), F.desc("text")])
-        chunks = require_keys(chunk_table(newest, "path", "text", keep=CHUNK_VERSIONS), "chunk_id")
-        change_log.write_batch(chunks, table, batch_id)
-
-    return _start(documents, add, checkpoint, trigger)
+    return ingest_stream(documents, table, checkpoint, trigger)
 
 
 def chunk_rows(spark: SparkSession, table: str) -> DataFrame:
