@@ -122,7 +122,7 @@ def drill_down(df: DataFrame, targets: Sequence[str] | DataFrame, cols: Sequence
     if not isinstance(targets, DataFrame):
         wanted = F.lit(False)
         for c in cols:
-            wanted = wanted | F.coalesce(F.col(c).isin(list(targets)), F.lit(False))
+            wanted = wanted | F.col(c).isin(list(targets))
         return df.where(wanted)
     values = targets.select("target").where("target is not null").distinct()
     found = None

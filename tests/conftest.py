@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
         "quern-tests", "local[8]",
         spark__sql__shuffle__partitions=8, spark__driver__memory="8g", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__checkpoint__dir=str(work / "shared"),
-        spark__sql__warehouse__dir=str(work / "warehouse"),
+        spark__sql__warehouse__dir=str(work / "warehouse"), spark__sql__maxMetadataStringLength=2000,
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
