@@ -88,39 +88,44 @@ def spread_join(
 
 
 def running_offset(
-    df: DataFrame, group: Sequence[str], position: str, amount: str, out: str, block: int = BLOCK
+    df: DataFrame,
+    group: Sequence[str],
+    position: str,
+    amount: str,
+    out: str,
+    block: int = BLOCK,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds `out`: the sum of `amount` over the earlier positions of the group.
 
-    `position` is an integer that orders the group. Totals are first taken per
-    block of `block` positions and run over the blocks, then over the rows within
-    each block, so no task sorts a whole group however long it is.
+    `position` is an integer that orders the group. A group with more than
+    `hot_rows` rows is cut into blocks of `block` positions: totals run over its
+    blocks first, then over the rows within each block, so no task sorts it whole.
     """
     group = list(group)
-    numbered = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)).cast("bigint"))
-    over_blocks = (
-        Window.partitionBy(*group)
-        .orderBy("_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    hot = frequent_keys(df, group, hot_rows)
+    is_hot = F.xxhash64(*group).isin(list(hot)) if hot else F.lit(False)
+    marked = df.withColumn(
+        "_block",
+        F.when(is_hot, F.floor(F.col(position) / F.lit(block)).cast("bigint")).otherwise(F.lit(0)),
     )
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    in_block = before(Window.partitionBy(*group, "_block").orderBy(position))
+    amounts = F.col(amount).cast("bigint")
+    inner = marked.withColumn(out, F.coalesce(F.sum(amounts).over(in_block), F.lit(0)).cast("bigint"))
+    if not hot:
+        return inner.drop("_block")
+    over_blocks = before(Window.partitionBy(*group).orderBy("_block"))
     starts = (
-        numbered.groupBy(*group, "_block")
-        .agg(F.sum(F.col(amount).cast("bigint")).alias("_total"))
+        marked.where(is_hot)
+        .groupBy(*group, "_block")
+        .agg(F.sum(amounts).alias("_total"))
         .select(
-            *group,
-            "_block",
-            F.coalesce(F.sum("_total").over(over_blocks), F.lit(0)).alias("_start"),
+            *group, "_block", F.coalesce(F.sum("_total").over(over_blocks), F.lit(0)).alias("_start")
         )
     )
-    in_block = (
-        Window.partitionBy(*group, "_block")
-        .orderBy(position)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inner = F.coalesce(F.sum(F.col(amount).cast("bigint")).over(in_block), F.lit(0))
     return (
-        numbered.withColumn("_inner", inner)
-        .join(starts, [*group, "_block"])
-        .withColumn(out, (F.col("_start") + F.col("_inner")).cast("bigint"))
-        .drop("_block", "_inner", "_start")
+        inner.join(starts, [*group, "_block"], "left")
+        .withColumn(out, (F.coalesce("_start", F.lit(0)) + F.col(out)).cast("bigint"))
+        .drop("_block", "_start")
     )

@@ -102,7 +102,7 @@ def test_chunk_table_ids(spark):
 def test_multipart_numbers_run_through_the_file(spark, block, monkeypatch):
     from quern.operators import spread
 
-    monkeypatch.setattr(spread.running_offset, "__defaults__", (block,))
+    monkeypatch.setattr(spread.running_offset, "__defaults__", (block, 2))
     parts = [("a", p, "x" * n) for p, n in enumerate([10, 2000, 0, 1000, 3000, 5])] + [("b", 7, "y" * 950)]
     df = spark.createDataFrame(parts, "file string, part int, text string")
     rows = chunking.chunk_multipart(df, "file", "part", "text").orderBy("file", "chunk_index").collect()

@@ -55,10 +55,11 @@ def test_two_keys(spark):
 
 
 @pytest.mark.parametrize("block", [1, 4, 1000])
-def test_running_offset(spark, block):
+@pytest.mark.parametrize("hot_rows", [0, 10, 1000])
+def test_running_offset(spark, block, hot_rows):
     rows = [("a", i * i, i % 3) for i in range(40)] + [("b", 5, 2)]
     df = spark.createDataFrame(rows, "g string, p int, n int").repartition(5)
-    got = {(r["g"], r["p"]): r["o"] for r in spread.running_offset(df, ["g"], "p", "n", "o", block).collect()}
+    got = {(r["g"], r["p"]): r["o"] for r in spread.running_offset(df, ["g"], "p", "n", "o", block, hot_rows).collect()}
     total, expected = 0, {}
     for g, p, n in rows[:-1]:
         expected[(g, p)] = total
