@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.decontaminate import op6_decontamination
+from quern.llm.packing import op8_packing
 from quern.llm.simhash import op2_simhash
 from quern.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op2_simhash, op3_url_filter)
+    fn.__name__: fn for fn in (
+        op2_simhash, op3_url_filter, op6_decontamination, op8_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL}
