@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.chat import op9_chat_format
 from quern.llm.decontaminate import op6_decontamination
+from quern.llm.licenses import op5_license_scan
 from quern.llm.packing import op8_packing
+from quern.llm.quality import op4_quality
 from quern.llm.simhash import op2_simhash
+from quern.llm.toxicity import op1_toxicity
 from quern.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (
-        op2_simhash, op3_url_filter, op6_decontamination, op8_packing,
+        op1_toxicity, op2_simhash, op3_url_filter, op4_quality, op5_license_scan,
+        op6_decontamination, op8_packing, op9_chat_format,
     )
 }
 
