@@ -30,8 +30,8 @@ TOP = 20
 PIVOTS = 256
 PREFIX = 32
 #: Share of each block that is ranked exactly, and the fewest vectors.
-SHARE = 0.25
-LEAST = 512
+SHARE = 0.3
+LEAST = 1024
 BLOCK = 8192
 QUERY_BLOCK = 8192
 RECALL_EVERY = 20

@@ -10,6 +10,7 @@ from quern.llm.chat import op9_chat_format
 from quern.llm.decontaminate import op6_decontamination
 from quern.llm.licenses import op5_license_scan
 from quern.llm.neighbours import op7_nearest_neighbours
+from quern.llm.ngram import op10_lm_score
 from quern.llm.packing import op8_packing
 from quern.llm.quality import op4_quality
 from quern.llm.simhash import op2_simhash
@@ -19,7 +20,7 @@ from quern.llm.url_filter import OP3_SQL, op3_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (
         op1_toxicity, op2_simhash, op3_url_filter, op4_quality, op5_license_scan,
-        op6_decontamination, op7_nearest_neighbours, op8_packing, op9_chat_format,
+        op6_decontamination, op7_nearest_neighbours, op8_packing, op9_chat_format, op10_lm_score,
     )
 }
 
