@@ -10,6 +10,7 @@ a length are numbered by Spark, and a piece's number gives its run and its place
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces numbered in one group at most, about.
 GROUP_ROWS = 20_000
-#: Words whose ids a Python worker keeps: 100 MB or less.
+#: Words of a generation whose ids a Python worker keeps: two take about 120 MB.
 KEPT_WORDS = 300_000
 
 
@@ -35,10 +36,12 @@ class WordIds:
     """Ids of texts, looked up word by word.
 
     The tokenizer drops white space and joins nothing across it, so the ids of a text
-    are those of its words. Frequent words are encoded once.
+    are those of its words. Words are kept in two generations: what is met again moves
+    to the young one, and when that is full the old one is forgotten.
     """
 
     def __init__(self, path: str | None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks keep all cores busy
         from tokenizers import Tokenizer
 
         if path is None:
@@ -47,20 +50,42 @@ class WordIds:
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text in UTF-8."""
-        words = text.split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        mark = self._ids("\0")
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words in one go, apart by a mark that no word has: one call for each
+        word would take longer than the word."""
+        plain = [w for w in words if b"\0" not in w] if self.mark is not None else []
+        if plain:
+            ids = self._ids(" \0 ".join([w.decode("utf-8", "replace") for w in plain]) + " \0")
+            raw, ends = ids.tobytes(), np.flatnonzero(ids == self.mark).tolist()
+            starts = [0, *(e + 1 for e in ends[:-1])]
+            self.young.update(zip(plain, (raw[4 * a:4 * e] for a, e in zip(starts, ends))))
+        if len(plain) < len(words):
+            for word in set(words).difference(plain):
+                self.young[word] = self._ids(word.decode("utf-8", "replace")).tobytes()
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of texts in UTF-8."""
+        split = [text.split() for text in texts]
+        if len(self.young) > KEPT_WORDS:
+            self.old, self.young = self.young, {}
+        new = []
+        for word in set().union(*split).difference(self.young):
+            if (ids := self.old.get(word)) is None:
+                new.append(word)
+            else:
+                self.young[word] = ids
         if new:
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        return b"".join(map(known.__getitem__, words))
+            self._learn(new)
+        known = self.young.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 _LOADED: dict[str | None, WordIds] = {}
@@ -84,8 +109,8 @@ def tokenized(
         encode = _encoder(tokenizer_path)
         for batch in batches:
             rows, starts, totals, pieces = [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py()) + end
+            for row, ids in enumerate(encode(batch.column(1).to_pylist())):
+                ids += end
                 for at in range(0, len(ids), size):
                     rows.append(row)
                     starts.append(at // 4)
