@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,3 +51,13 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps removed now.
+
+    Spark removes them once the driver's garbage collector has found their plans dead,
+    which an idle driver may put off until the disks are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Saved, body, prepared, table
+from quern.llm.common import Saved, body, prepared, settle, table
 from quern.llm.elias_fano import Trie
 
 #: Tokens of a block; a longer document is a block of its own.
@@ -267,7 +267,6 @@ def score_documents(
     training texts every token is unknown.
     """
     spark = prepared(docs.sparkSession)
-
     given = docs.select(
         F.col(id_col).alias("doc_id"), body(F.col(text_col)).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held"))
@@ -283,6 +282,7 @@ def score_documents(
 
     words = Saved(asked.groupBy("shard").applyInPandas(_merge_words, _PART), "words", "uncompressed").df
     totals = [unpacked(r.payload) for r in words.where("block = -1").select("payload").toLocalIterator()]
+    settle(spark)
     n_train, n_distinct = (int(sum(int(t[i][0]) for t in totals)) for i in (0, 1))
     total = n_train + n_distinct + 1
 
@@ -292,6 +292,7 @@ def score_documents(
     known = words.where("block >= 0")
     of_pairs = states.select("block", "payload").groupBy("block").cogroup(known.groupBy("block")).applyInPandas(ask, _PART)
     told = Saved(of_pairs.groupBy("shard").applyInPandas(lambda p: _merge_pairs(p, total), _PART), "pairs", "uncompressed").df
+    settle(spark)
     likelihood = np.zeros(len(PRIORS))
     for row in told.where("block = -1").select("payload").toLocalIterator():
         likelihood += unpacked(row.payload)[0]
