@@ -30,14 +30,17 @@ TOKENIZER = "word_bpe_49k.json"
 GROUP_ROWS = 20_000
 #: Words of a generation whose ids a Python worker keeps: two take about 120 MB.
 KEPT_WORDS = 300_000
+_MARKS = b".,;:!?"
 
 
 class WordIds:
     """Ids of texts, looked up word by word.
 
     The tokenizer drops white space and joins nothing across it, so the ids of a text
-    are those of its words. Words are kept in two generations: what is met again moves
-    to the young one, and when that is full the old one is forgotten.
+    are those of its words; if it ignores case and always parts a letter or digit from
+    the marks after it, which is tried out first, then also those of the lower-cased word
+    and of the marks. Words are kept in two generations: what is met again moves to the
+    young one, and when that is full the old one is forgotten.
     """
 
     def __init__(self, path: str | None):
@@ -50,14 +53,26 @@ class WordIds:
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.young = {bytes([m]): self._ids(chr(m)).tobytes() for m in _MARKS}
         mark = self._ids("\0")
         self.mark = mark[0] if len(mark) == 1 else None
+        alike = lambda *texts: b"".join(self._ids(t).tobytes() for t in texts)
+        self.folds = alike("aB") == alike("ab")
+        self.parts = alike("ab.,") == alike("ab", ".,") and alike("a1!") == alike("a1", "!")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _put_together(self, word: bytes) -> bytes | None:
+        """The ids of a word and the marks after it, if both are known."""
+        core = word.rstrip(_MARKS)
+        if core == word or not core[-1:].isalnum():
+            return None
+        ids = self.young.get(core) or self.old.get(core)
+        marks = self.young.get(word[len(core):])
+        return ids + marks if ids and marks else None
+
     def _learn(self, words: list[bytes]) -> None:
         """Encode words in one go, apart by a mark that no word has: one call for each
         word would take longer than the word."""
@@ -73,12 +88,13 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of texts in UTF-8."""
-        split = [text.split() for text in texts]
+        split = [(text.lower() if self.folds else text).split() for text in texts]
         if len(self.young) > KEPT_WORDS:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, {bytes([m]): self.young[bytes([m])] for m in _MARKS}
         new = []
         for word in set().union(*split).difference(self.young):
-            if (ids := self.old.get(word)) is None:
+            ids = self.old.get(word) or self.parts and self._put_together(word)
+            if not ids:
                 new.append(word)
             else:
                 self.young[word] = ids
