@@ -11,6 +11,8 @@ a length are numbered by Spark, and a piece's number gives its run and its place
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,22 +32,24 @@ TOKENIZER = "word_bpe_49k.json"
 GROUP_ROWS = 20_000
 #: Words of a generation whose ids a Python worker keeps: two take about 120 MB.
 KEPT_WORDS = 300_000
-_MARKS = b".,;:!?"
 
 
 class WordIds:
     """Ids of texts, looked up word by word.
 
     The tokenizer drops white space and joins nothing across it, so the ids of a text
-    are those of its words; if it ignores case and always parts a letter or digit from
-    the marks after it, which is tried out first, then also those of the lower-cased word
-    and of the marks. Words are kept in two generations: what is met again moves to the
-    young one, and when that is full the old one is forgotten.
+    are those of its words. Words are kept in two generations: what is met again moves
+    to the young one, and when that is full the old one is forgotten.
+
+    Most new words are Latin letters, with marks after them or not. If the tokenizer
+    ignores their case, takes a run of them as one unit and parts marks from it, all of
+    which is tried out first, its model gets the letters as they are, without the much
+    slower normalising and splitting; everything else takes the whole way.
     """
 
     def __init__(self, path: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks keep all cores busy
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
@@ -53,53 +57,56 @@ class WordIds:
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.young = {bytes([m]): self._ids(chr(m)).tobytes() for m in _MARKS}
-        mark = self._ids("\0")
-        self.mark = mark[0] if len(mark) == 1 else None
-        alike = lambda *texts: b"".join(self._ids(t).tobytes() for t in texts)
-        self.folds = alike("aB") == alike("ab")
-        self.parts = alike("ab.,") == alike("ab", ".,") and alike("a1!") == alike("a1", "!")
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _put_together(self, word: bytes) -> bytes | None:
-        """The ids of a word and the marks after it, if both are known."""
-        core = word.rstrip(_MARKS)
-        if core == word or not core[-1:].isalnum():
-            return None
-        ids = self.young.get(core) or self.old.get(core)
-        marks = self.young.get(word[len(core):])
-        return ids + marks if ids and marks else None
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words in one go, apart by a mark that no word has: one call for each
-        word would take longer than the word."""
-        plain = [w for w in words if b"\0" not in w] if self.mark is not None else []
-        if plain:
-            ids = self._ids(" \0 ".join([w.decode("utf-8", "replace") for w in plain]) + " \0")
-            raw, ends = ids.tobytes(), np.flatnonzero(ids == self.mark).tolist()
-            starts = [0, *(e + 1 for e in ends[:-1])]
-            self.young.update(zip(plain, (raw[4 * a:4 * e] for a, e in zip(starts, ends))))
-        if len(plain) < len(words):
-            for word in set(words).difference(plain):
-                self.young[word] = self._ids(word.decode("utf-8", "replace")).tobytes()
+        units = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.marks: dict[str, bytes] = {}
+        self.letters = {ord(c): units.pre_tokenize_str(c)[0][0] for c in map(chr, range(97, 0x250)) if c.isalpha() and c == c.lower()}
+        self.plain = re.compile(f"([{''.join(map(chr, self.letters))}]+)([.,;:!?]*)").fullmatch
+        trials = ["a", "the", "nation", "\u00e9t\u00e9", "stra\u00dfe", "\u0159eka", "qzxv\u00f1\u00f8"]
+        self.direct = all(
+            self._letters(t) == self._whole(t) == self._whole(t.upper() if "\u00df" not in t else t)
+            and self._whole(t) + self._whole(m) == self._whole(t + m) for t in trials for m in (",", ".", "!?", ":;"))
+
+    def _whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return array("I", found.ids).tobytes()
+
+    def _letters(self, text: str) -> bytes:
+        units = text if text.isascii() else text.translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        young, old, odd = self.young, self.old, []
+        for word in words:
+            if (ids := old.get(word)) is None:
+                plain = self.plain(word.decode("utf-8", "replace").lower()) if self.direct else None
+                if plain is None:
+                    odd.append(word)
+                    continue
+                text, marks = plain.groups()
+                core = text.encode()
+                if (ids := young.get(core) or old.get(core)) is None:
+                    ids = self._letters(text)
+                if marks:
+                    young[core] = ids
+                    if marks not in self.marks:
+                        self.marks[marks] = self._whole(marks)
+                    ids += self.marks[marks]
+            young[word] = ids
+        if odd:
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)
+            young.update(zip(odd, (array("I", e.ids).tobytes() for e in found)))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of texts in UTF-8."""
-        split = [(text.lower() if self.folds else text).split() for text in texts]
+        split = [(text.lower() if self.direct else text).split() for text in texts]
         if len(self.young) > KEPT_WORDS:
-            self.old, self.young = self.young, {bytes([m]): self.young[bytes([m])] for m in _MARKS}
-        new = []
-        for word in set().union(*split).difference(self.young):
-            ids = self.old.get(word) or self.parts and self._put_together(word)
-            if not ids:
-                new.append(word)
-            else:
-                self.young[word] = ids
-        if new:
-            self._learn(new)
+            self.old, self.young = self.young, {}
+        if len(self.marks) > KEPT_WORDS:
+            self.marks.clear()
+        self._learn(set().union(*split).difference(self.young))
         known = self.young.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
