@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,15 +151,20 @@ def train(
     prepared(docs.sparkSession)
     sample = labelled_sample(docs, labels, id_col, {"text": body(F.col(text_col))}, names, sample_rows)
 
-    @F.pandas_udf("col array<long>, value array<double>")
+    @F.pandas_udf("col array<int>, value array<float>")
     def of(texts: pd.Series) -> pd.DataFrame:
         buckets = _Buckets()
         found = [entries(t, buckets) for t in texts]
-        return pd.DataFrame({"col": [c for c, _ in found], "value": [v for _, v in found]})
-
-    got = sample.select(of("_text").alias("e"), *(f"_{n}" for n in names)).toPandas()
-    rows = Rows.of([(np.asarray(e["col"]), np.asarray(e["value"])) for e in got["e"]], BUCKETS)
-    return fit_chain(rows, got[[f"_{n}" for n in names]].to_numpy(float).reshape(len(got), len(names)), names)
+        return pd.DataFrame({"col": [c.astype("i4") for c, _ in found], "value": [v.astype("f4") for _, v in found]})
+
+    e = of("_text")
+    got = sample.select(e.alias("e"), *(f"_{n}" for n in names)).select("e.col", "e.value", *(f"_{n}" for n in names)).toArrow()
+    sizes = pc.list_value_length(got["col"]).to_numpy()
+    rows = Rows(
+        np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), pc.list_flatten(got["col"]).to_numpy().astype(np.int64),
+        pc.list_flatten(got["value"]).to_numpy().astype(np.float64), BUCKETS)
+    y = np.column_stack([got[f"_{n}"].to_numpy() for n in names]).astype(float)
+    return fit_chain(rows, y, names)
 
 
 def _judgements(labels: DataFrame) -> DataFrame:
