@@ -16,16 +16,10 @@ def filter_project(df: DataFrame, where: Column, cols: Sequence[str | Column]) -
 
 
 def join_on(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    spread_by: Sequence[str] | None = None,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Equi-join; `spread_by` names left columns that split overly frequent keys."""
-    if spread_by:
-        return spread_join(left, right, keys, how, spread_by)
-    return left.join(right, list(keys), how)
+    """Equi-join whose left side may be dominated by a few keys."""
+    return spread_join(left, right, keys, how)
 
 
 def agg_basic(df: DataFrame, by: Sequence[str | Column], measures: Mapping[str, Column]) -> DataFrame:
@@ -98,17 +92,17 @@ def rolling_compare(
 ) -> DataFrame:
     """The last `months` months against those before, up to the newest month in the data.
 
-    The newest month is a scalar subquery: file statistics answer most of it, and
-    rows older than both spans drop out before the aggregate.
+    The newest time is a scalar subquery, and the spans are bounds on the time column
+    itself, so the scan can skip what is older than both.
     """
-    month = bucket(ts, "month")
-    newest = df.select(F.max(month)).scalar()
-    recent = month > F.add_months(newest, -months)
-    before = (month > F.add_months(newest, -2 * months)) & ~recent
+    time = F.col(ts)
+    newest = F.date_trunc("month", df.select(F.max(time)).scalar())
+    since = lambda back: F.add_months(newest, 1 - back).cast(df.schema[ts].dataType)
+    recent = time >= since(months)
     total = lambda cond: F.coalesce(F.sum(F.when(cond, measure)), F.lit(0))
-    rows = df.where(month > F.add_months(newest, -2 * months))
+    rows = df.where(time >= since(2 * months))
     sums = rows.groupBy(*by).agg(
-        total(recent).alias("recent_value"), total(before).alias("prior_value")
+        total(recent).alias("recent_value"), total(~recent).alias("prior_value")
     )
     return with_change(sums, "recent_value", "prior_value")
 

@@ -1,131 +1,72 @@
-"""Joins and running totals that hold up when one key owns much of the data."""
+"""Joins and running totals that hold up when one key owns much of the data.
+
+Nothing here looks at the data while a plan is being built.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is cut into pieces of about this many.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 256
-MAX_PIECES = 1024
-# Positions per block of a running total: a block fits a task, and so do the block
-# totals of a group with a million million positions.
-BLOCK = 65_536
-
-
-def frequent_keys(df: DataFrame, keys: Sequence[str], rows: int) -> dict[int, int]:
-    """Key hash -> row count of the keys with more than `rows` rows, HOT_KEYS at most.
-
-    Each task sums up its rows in a sketch of fixed size, so neither the shuffle
-    nor the result grows with the number of keys, and a key that owns a sizeable
-    share of the rows is always found.
-    """
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-    sketches = (
-        df.where(present)
-        .select(F.xxhash64(*keys).alias("h"), F.pmod(F.spark_partition_id(), F.lit(512)).alias("part"))
-        .groupBy("part")
-        .agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {8 * HOT_KEYS})").alias("top"))
-    )
-    counts = (
-        sketches.select(F.inline("top"))
-        .groupBy("item")
-        .agg(F.sum("count").alias("n"))
-        .where(F.col("n") > rows)
-        .orderBy(F.desc("n"))
-        .limit(HOT_KEYS)
-    )
-    return {r["item"]: r["n"] for r in counts.collect()}
+# Positions per block of a running total, and blocks per block of blocks: as powers of
+# two. Three levels of 21 bits hold every position of 63 bits.
+LEVEL_BITS = 21
 
 
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    spread_by: Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join whose left side may be dominated by a few keys, or by null keys.
 
-    Left rows of a frequent key are cut into pieces by a hash of `spread_by`
-    (default: all columns), and that key's right rows are copied to each piece.
-    All other rows join as usual. Which keys count as frequent never changes the
-    result, and the hash, unlike a random number, gives a re-run task the same
-    rows. `how` is inner, left, left_semi, left_anti, right or full.
+    Inner, left, left_semi and left_anti joins are plain ones: the adaptive skew join
+    cuts the left side's large partitions, those of null keys too. It cannot do so for
+    right and full joins, as every cut would find the same right rows unmatched; these
+    are the inner or left join and, apart, the right rows whose key the left side lacks.
+    Columns and types are those of the plain join.
     """
     keys = list(keys)
-    if how in ("right", "full"):
-        matched = spread_join(
-            left, right, keys, "inner" if how == "right" else "left", spread_by, hot_rows
-        )
-        only_right = right.join(left.select(*keys).distinct(), keys, "left_anti")
-        return matched.unionByName(only_right, allowMissingColumns=True)
-
-    hot = frequent_keys(left, keys, hot_rows)
-    if not hot:
-        return left.join(right, keys, how)
-    pieces = min(MAX_PIECES, max(2, -(-max(hot.values()) // hot_rows)))
-    is_hot = F.xxhash64(*keys).isin(list(hot))
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    piece = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(pieces)).cast("int")
-    # a null key matches nothing; its rows are spread as well
-    l = left.withColumn("_piece", F.when(is_hot | any_null, piece).otherwise(0))  # noqa: E741
-    r = right.withColumn(
-        "_piece",
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return l.join(r, [*keys, "_piece"], how).drop("_piece")
+    plain = left.join(right, keys, how)
+    if how not in ("right", "full"):
+        return plain
+    matched = left.join(right, keys, "inner" if how == "right" else "left")
+    only_right = right.join(left.select(*keys).distinct(), keys, "left_anti")
+    both = matched.unionByName(only_right, allowMissingColumns=True)
+    return both.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in plain.schema))
 
 
 def running_offset(
-    df: DataFrame,
-    group: Sequence[str],
-    position: str,
-    amount: str,
-    out: str,
-    block: int = BLOCK,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, group: Sequence[str], position: str, amount: str, out: str, bits: int = LEVEL_BITS
 ) -> DataFrame:
     """Adds `out`: the sum of `amount` over the earlier positions of the group.
 
-    `position` is an integer that orders the group. A group with more than
-    `hot_rows` rows is cut into blocks of `block` positions: totals run over its
-    blocks first, then over the rows within each block, so no task sorts it whole.
+    `position` is an integer that orders the group. Totals run within blocks of
+    2 ** `bits` positions, over the blocks within blocks of as many blocks, and over
+    those: whatever the size of a group and however sparse its positions, no window
+    holds more than 2 ** `bits` of them, or of blocks.
     """
-    group = list(group)
-    hot = frequent_keys(df, group, hot_rows)
-    is_hot = F.xxhash64(*group).isin(list(hot)) if hot else F.lit(False)
-    marked = df.withColumn(
-        "_block",
-        F.when(is_hot, F.floor(F.col(position) / F.lit(block)).cast("bigint")).otherwise(F.lit(0)),
-    )
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    in_block = before(Window.partitionBy(*group, "_block").orderBy(position))
+    group, place = list(group), F.col(position).cast("bigint")
     amounts = F.col(amount).cast("bigint")
-    inner = marked.withColumn(out, F.coalesce(F.sum(amounts).over(in_block), F.lit(0)).cast("bigint"))
-    if not hot:
-        return inner.drop("_block")
-    over_blocks = before(Window.partitionBy(*group).orderBy("_block"))
-    starts = (
-        marked.where(is_hot)
-        .groupBy(*group, "_block")
-        .agg(F.sum(amounts).alias("_total"))
-        .select(
-            *group, "_block", F.coalesce(F.sum("_total").over(over_blocks), F.lit(0)).alias("_start")
-        )
-    )
-    return (
-        inner.join(starts, [*group, "_block"], "left")
-        .withColumn(out, (F.coalesce("_start", F.lit(0)) + F.col(out)).cast("bigint"))
-        .drop("_block", "_start")
-    )
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda total, window: F.coalesce(F.sum(total).over(window), F.lit(0)).cast("bigint")
+
+    marked = df.withColumn("_block", F.shiftright(place, bits))
+    inner = marked.withColumn(out, earlier(amounts, before(*group, "_block").orderBy(position)))
+    blocks = marked.groupBy(*group, "_block").agg(F.sum(amounts).alias("_total"))
+    blocks = blocks.withColumn("_outer", F.shiftright("_block", bits))
+    outer = blocks.groupBy(*group, "_outer").agg(F.sum("_total").alias("_all"))
+    outer = outer.withColumn("_begin", earlier("_all", before(*group).orderBy("_outer")))
+    starts = blocks.withColumn("_start", earlier("_total", before(*group, "_outer").orderBy("_block")))
+
+    def same(a: DataFrame, b: DataFrame, *cols: str):
+        return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[f"_{c}"]) for c in cols))
+
+    def renamed(side: DataFrame, *cols: str) -> DataFrame:
+        return side.select(*(F.col(c).alias(f"_{c}") for c in cols), F.col(side.columns[-1]))
+
+    begins = renamed(outer, *group, "_outer")
+    starts = starts.join(begins, same(starts, begins, *group, "_outer"), "left").select(
+        *(starts[c] for c in group), starts["_block"], (F.col("_start") + F.col("_begin")).alias("_start"))
+    starts = renamed(starts, *group, "_block")
+    return inner.join(starts, same(inner, starts, *group, "_block"), "left").select(
+        *(inner[c] for c in df.columns), (F.col("_start") + F.col(out)).cast("bigint").alias(out))

@@ -156,5 +156,5 @@ def changed_rows(
 def stale_chunks(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Chunks of documents in the batch whose chunk is in the batch no more."""
     documents = batch.select("doc_hash").distinct()
-    again = spread_join(target, documents, ["doc_hash"], "left_semi", ["chunk_id"])
+    again = spread_join(target, documents, ["doc_hash"], "left_semi")
     return again.join(batch.select("chunk_id"), "chunk_id", "left_anti")

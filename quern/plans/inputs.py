@@ -154,7 +154,7 @@ def verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = verdict_texts(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), "verdict")
     asked = questions(spark, sf_dir)
-    return spread_join(asked, judged, ["conv_id"], "inner", ["turn"]).select("question_id", "verdict")
+    return spread_join(asked, judged, ["conv_id"], "inner").select("question_id", "verdict")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,7 +446,7 @@ ORACLES: dict[str, str] = {
         SELECT CAST(user_id AS VARCHAR), coalesce(nxt, 0) + row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1, 'event', event_type
         FROM events LEFT JOIN last ON conv_id = user_id""",
     "history_text": f"""
-        SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(0 AS BIGINT) AS page, true AS last_page,
+        SELECT CAST(conv_id AS VARCHAR) AS session_id,
                {HISTORY} || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history
         FROM conversations GROUP BY conv_id""",
     "context_block": f"""
@@ -457,7 +457,7 @@ ORACLES: dict[str, str] = {
         b AS (SELECT d.doc_id, concat_ws({BREAK}, history, CASE WHEN docs <> '' THEN {DOCUMENTS} || docs END,
                      CASE WHEN result <> '' THEN {RESULTS} || result END) AS block
               FROM documents d LEFT JOIN h ON h.conv_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN r ON r.user_id = d.doc_id)
-        SELECT CAST(doc_id AS VARCHAR) AS session_id, CAST(0 AS BIGINT) AS page, nullif(block, '') AS engineered_context,
+        SELECT CAST(doc_id AS VARCHAR) AS session_id, nullif(block, '') AS engineered_context,
                CASE WHEN block = '' THEN {_q(fixed.NO_CONTEXT)} END AS error FROM b""",
     "prompt_render": f"WITH {QUESTIONS}, {ANSWERED} SELECT question_id, {_prompt} AS prompt FROM answered",
     "intent_parse": f"WITH {INTENT_TEXTS} SELECT * FROM parsed",

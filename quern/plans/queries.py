@@ -342,7 +342,7 @@ def join_inner(spark, sf_dir):
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_quantity"
     )
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return analytics.join_on(lines, orders, ["o_orderkey"], "inner", ["l_linenumber", "l_partkey"])
+    return analytics.join_on(lines, orders, ["o_orderkey"], "inner")
 
 
 @query
@@ -355,13 +355,13 @@ def join_left(spark, sf_dir):
 def join_right(spark, sf_dir):
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), "event_id", "event_type")
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return analytics.join_on(events, customers, ["c_custkey"], "right", ["event_id"])
+    return analytics.join_on(events, customers, ["c_custkey"], "right")
 
 
 @query
 def join_full(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role")
-    return analytics.join_on(turns, read(spark, sf_dir, "labels"), ["doc_id"], "full", ["turn"])
+    return analytics.join_on(turns, read(spark, sf_dir, "labels"), ["doc_id"], "full")
 
 
 @query
@@ -567,9 +567,7 @@ def context_block(spark, sf_dir):
         .join(texts, "session_id", "left")
         .join(results, "session_id", "left")
     )
-    return conversation.context_block(base).select(
-        "session_id", F.coalesce("page", F.lit(0)).cast("bigint").alias("page"), "engineered_context", "error"
-    )
+    return conversation.context_block(base).select("session_id", "engineered_context", "error")
 
 
 @query

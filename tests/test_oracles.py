@@ -7,9 +7,10 @@ from oracle_check import connect, differences
 
 import __spark_entry__ as entry
 from quern.plans.inputs import TABLES
+from quern.plans.oracles import ORACLES
+from quern.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,10 @@ def con():
     return connect(SF_DIR)
 
 
+def test_entry_registers_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_only_listing_files_has_no_twin():
     assert set(QUERIES) - set(ORACLES) == {"file_scan"}
     assert set(ORACLES) <= set(QUERIES)

@@ -2,9 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from quern.plans.queries import QUERIES
 
-QUERIES = entry.queries()
 STREAMS = {"stream_ingest", "stream_index_sync", "stream_error_log", "index_resync"}
 WITH_PYTHON = {
     "vector_topk", "vector_topk_lsh", "text_retrieve", "retrieval_context", "retrieval_sources",

@@ -10,17 +10,18 @@ from quern.operators import conversation, intent, responses, screening
 from quern.operators.intent import audio_name
 
 
-@pytest.mark.parametrize("page_turns", [1, 3, 4096])
-def test_history_pages_join_to_the_whole(spark, page_turns):
+@pytest.mark.parametrize("block_turns", [1, 3, 4096])
+def test_history_is_one_row_per_session(spark, block_turns):
     turns = [("s", i, "user" if i % 2 else "assistant", f"text {i}\nmore") for i in range(8)] + [("t", 5, "user", "")]
+    turns += [("sparse", i, "user", str(i)) for i in (0, 10_000, 20_000)]
+    turns += [("long", i, "user", str(i)) for i in range(10_000 if block_turns > 1 else 50)]
     df = spark.createDataFrame(turns, "session_id string, turn long, role string, text string").repartition(4)
-    got = conversation.history_text(df, page_turns).orderBy("session_id", "page").collect()
-    whole = "".join(r["history"] for r in got if r["session_id"] == "s")
-    assert whole == fixed.HISTORY_HEADING + "\n".join(f"{r}: {t}" for s, _, r, t in turns if s == "s")
-    assert [r["last_page"] for r in got if r["session_id"] == "s"].count(True) == 1
-    assert [r["page"] for r in got if r["session_id"] == "t"] == [0]
-    if page_turns == 4096:
-        assert len(got) == 2
+    got = {r["session_id"]: r["history"] for r in conversation.history_text(df, block_turns).collect()}
+    assert conversation.history_text(df, block_turns).count() == 4
+    for session, history in got.items():
+        assert history == fixed.HISTORY_HEADING + "\n".join(f"{r}: {t}" for s, _, r, t in turns if s == session)
+    lines = conversation.history_lines(df).where("session_id = 's'").orderBy("turn").collect()
+    assert fixed.HISTORY_HEADING + "\n".join(r["line"] for r in lines) == got["s"]
 
 
 def test_history_append(spark):
@@ -41,17 +42,6 @@ def test_context_sections(spark):
     assert got[4] == (None, fixed.NO_CONTEXT)
 
 
-def test_context_pages_join_to_the_whole(spark):
-    turns = spark.createDataFrame([("s", i, "user", str(i)) for i in range(5)], "session_id string, turn long, role string, text string")
-
-    def whole(page_turns):
-        pages = conversation.history_text(turns, page_turns).withColumn("rag_result", F.lit("D")).withColumn("sql_result", F.lit("R"))
-        rows = conversation.context_block(pages).orderBy("page").collect()
-        return "".join(r["engineered_context"] for r in rows)
-
-    assert whole(2) == whole(4096)
-
-
 def test_prompt_marks_inside_values_stay(spark):
     df = spark.createDataFrame([("{error}", None)], "a string, b string")
     got = conversation.prompt_render(df, "<{x}|{y}|{x}>", {"x": "a", "y": "b"}, "p").first()["p"]
@@ -67,7 +57,10 @@ INTENTS = {
     '{"intent":null}': "descriptive",
     '{"intent":5}': "descriptive",
     '{"intent":["Voice"]}': "descriptive",
-    '{"intent":"Voice"} and so on': "voice",
+    '{"intent":"Voice"} and so on': "descriptive",
+    '{"intent":"Voice"}, {"intent":"Voice"}': "descriptive",
+    "{'intent':'Voice'}": "descriptive",
+    ' {"intent":"Voice"} ': "voice",
     "": "descriptive",
     None: "descriptive",
     "{}": "descriptive",
@@ -83,7 +76,7 @@ def test_intent_parse_and_route(spark):
     assert first["filter_targets"] == ["New York"] and first["visualization"] is False
     assert got['{"intent":"Forecast"}']["known_intent"] is False
     assert got['{"intent":"Forecast"}']["route"] == "sql"
-    assert got['{"intent":"Voice"} and so on']["route"] == "voice"
+    assert got[' {"intent":"Voice"} ']["route"] == "voice"
 
 
 QUESTIONS = {
