@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,7 +58,10 @@ def settle(spark: SparkSession) -> None:
     """Have the shuffle files of finished steps removed now.
 
     Spark removes them once the driver's garbage collector has found their plans dead,
-    which an idle driver may put off until the disks are full.
+    which an idle driver may put off until the disks are full. The first collection
+    frees the plans, the second what they held; the removal itself goes on meanwhile.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
