@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.fixed import CHUNK_OVERLAP, CHUNK_SIZE
 
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 
 
 def _fixed_pattern(size: int, overlap: int) -> str:
@@ -53,15 +54,42 @@ def overlap_parts(parts: Column, overlap: int = CHUNK_OVERLAP) -> Column:
 
 
 def strip_markup(html: Column) -> Column:
-    """Script and style bodies out, then tags, then blanks folded."""
+    """Comments, script and style bodies out, then tags, entities decoded, blanks folded."""
     blank = F.lit(" ")
     bodies = F.regexp_replace(
-        html,
+        F.regexp_replace(html, F.lit(r"(?s)<!--.*?-->"), blank),
         F.lit(r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"),
         blank,
     )
     tags = F.regexp_replace(bodies, F.lit(r"<[^>]*>"), blank)
-    return F.trim(F.regexp_replace(tags, F.lit(r"[ \t\r\n\f]+"), blank))
+    return F.trim(F.regexp_replace(decode_entities(tags), F.lit(r"[ \t\r\n\f]+"), blank))
+
+
+def decode_entities(text: Column) -> Column:
+    """`&amp;` and its kind, and numbered characters, as what they stand for.
+
+    One walk over the text, so what an entity leaves is not decoded again. Numbers
+    that are no character stay as they are.
+    """
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    pattern = rf"&(?:{'|'.join(ENTITIES)}|#\d{{1,7}}|#[xX][0-9a-fA-F]{{1,6}});|[^&]+|&"
+
+    def decoded(piece: Column) -> Column:
+        name = F.substring(piece, 2, F.length(piece) - 2)
+        hexed = F.lower(F.substring(name, 2, 1)) == "x"
+        number = F.when(hexed, F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7))
+        code = number.cast("int")
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        entity = piece.startswith("&") & (F.length(piece) > 1)
+        return (
+            F.when(~entity, piece)
+            .when(~name.startswith("#"), F.try_element_at(names, name))
+            .when(known, char)
+            .otherwise(piece)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), decoded), "")
 
 
 def words(text: Column) -> Column:

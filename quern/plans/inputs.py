@@ -190,6 +190,36 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
+def flow_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests as questions; turns belong to the session of their conversation."""
+    conv = F.regexp_extract("request_id", r"^c(\d+)-", 1)
+    return requests(spark, sf_dir).select(
+        F.col("request_id").alias("question_id"),
+        F.when(conv != "", conv).otherwise(F.col("request_id")).alias("session_id"),
+        F.col("request").alias("user_query"),
+    )
+
+
+def sql_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL texts gave for the requests worded from events; those of errors failed."""
+    failed = F.col("event_type") == "error"
+    number = F.col("event_id").cast("string")
+    return read(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), number).alias("question_id"),
+        F.concat(F.lit("SELECT value FROM events WHERE event_id = "), number).alias("sql_query"),
+        F.when(~failed, F.col("value").cast("decimal(12,2)").cast("string")).alias("tabular_result"),
+        F.when(failed, F.col("props")).alias("sql_error"),
+    )
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One recording per customer, which names the customer."""
+    return read(spark, sf_dir, "customer").select(
+        F.concat(F.lit("/data/calls/"), F.col("c_custkey").cast("string"), F.lit(".wav")).alias("path"),
+        F.col("c_name").alias("transcription"),
+    )
+
+
 def intent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intent JSON, well and ill formed, worded from the rows of events and documents."""
     user = F.col("user_id").cast("string")

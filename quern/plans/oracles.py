@@ -15,9 +15,15 @@ def _q(text: str) -> str:
 
 DOCS = "docs AS (SELECT doc_id, source || '/' || doc_id AS path, text, lang, source AS origin FROM documents)"
 
-PLAIN = """trim(regexp_replace(regexp_replace(regexp_replace(html,
-    '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'),
-    '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g'))"""
+# Each named entity in turn, the ampersand last, then the numbered ones of an untouched text.
+_BARE = """regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
+    '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')"""
+_CODE = "CASE WHEN x[3] IN ('x', 'X') THEN CAST('0x' || x[4:-2] AS INTEGER) ELSE CAST(x[3:-2] AS INTEGER) END"
+_DECODED = f"""array_to_string(list_transform(regexp_extract_all({_BARE}, '&#\\d{{1,7}};|&#[xX][0-9a-fA-F]{{1,6}};|[^&]+|&'),
+    lambda x: CASE WHEN x[1:2] = '&#' THEN CASE WHEN {_CODE} BETWEEN 1 AND 55295 OR {_CODE} BETWEEN 57344 AND 1114111
+         THEN replace(chr({_CODE}), '&', '&amp;') ELSE x END ELSE x END), '')"""
+PLAIN = f"""trim(regexp_replace(replace(replace(replace(replace(replace(replace({_DECODED},
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '[ \\t\\r\\n\\f]+', ' ', 'g'))"""
 
 ARRIVALS = f"""arrivals AS (
     SELECT d.path, CASE WHEN l.quality = 1 THEN replace(d.text, 'e', 'E') ELSE replace(d.text, ' ', '') END AS text
@@ -105,8 +111,9 @@ def _terms(name: str, source: str, key: str, text: str) -> str:
     GROUP BY ALL)"""
 
 
-RETRIEVED = f"""{_terms('c_terms', 'chunks', 'chunk_id', 'text_content')},
-{_terms('q_terms', 'questions', 'question_id', 'user_query')},
+def _retrieved(asked: str) -> str:
+    return f"""{_terms('c_terms', 'chunks', 'chunk_id', 'text_content')},
+{_terms('q_terms', asked, 'question_id', 'user_query')},
 c_norm AS (SELECT chunk_id, CAST(sum(tf * tf) AS DOUBLE) AS n FROM c_terms GROUP BY 1),
 q_norm AS (SELECT question_id, CAST(sum(tf * tf) AS DOUBLE) AS n FROM q_terms GROUP BY 1),
 dots AS (SELECT question_id, chunk_id, CAST(sum(q.tf * c.tf) AS DOUBLE) AS dot
@@ -118,6 +125,9 @@ retrieved AS (
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, chunk_id) AS rn FROM scored)
     WHERE rn <= 4)"""
 
+
+RETRIEVED = _retrieved("questions")
+
 FOUND = """found AS (
     SELECT question_id, string_agg(text_content, chr(10) || chr(10) ORDER BY rank) AS rag_result,
            list_sort(list_distinct(list(source))) AS sources
@@ -508,6 +518,53 @@ _ALL_RESPONSES = f"""all_responses AS (
     SELECT 'v' || question_id, CAST(json_object('response_type', 'voice', 'session_id', session_id, 'user_query', user_query,
         'summary', user_query, 'transcription', answer) AS VARCHAR), 'voice', length(user_query) FROM answered)"""
 
+_failed_before, _failed_after = fixed.SQL_FAILED.split("{error}")
+
+
+def _json(kind: str, **cells: str) -> str:
+    inner = ", ".join(f"'{k}', {v}" for k, v in cells.items())
+    return f"CAST(json_object('response_type', '{kind}', 'session_id', session_id, 'user_query', user_query, {inner}) AS VARCHAR)"
+
+
+FLOW = f"""WITH {DOCS}, {CHUNKS}, {QUESTIONS}, {ANSWERED}, {CACHE}, {VERDICTS}, {REQUESTS}, ruled AS ({RULES}),
+    asked AS (SELECT DISTINCT md5(request) AS question_id, request AS user_query FROM ruled WHERE intent IN ('unstructured', 'mixed')),
+    {_retrieved('asked')}, {FOUND},
+    gathered AS (
+        SELECT r.request_id AS question_id, r.request AS user_query,
+               CASE WHEN r.request_id LIKE 'c%' THEN regexp_extract(r.request_id, '^c(\\d+)-', 1) ELSE r.request_id END AS session_id,
+               CASE intent {_routes} ELSE 'sql' END AS path, f.rag_result, f.sources,
+               CASE WHEN e.event_id IS NOT NULL THEN 'SELECT value FROM events WHERE event_id = ' || e.event_id END AS sql_query,
+               CASE WHEN event_type <> 'error' THEN CAST(CAST(value AS DECIMAL(12, 2)) AS VARCHAR) END AS tabular_result,
+               CASE WHEN event_type = 'error' THEN props END AS sql_error, c_name AS transcription, {AUDIO} AS audio_file,
+               coalesce(contains(lower(i.verdict), 'yes'), false) AS bad_in, coalesce(contains(lower(o.verdict), 'yes'), false) AS bad_out,
+               h.query_hash IS NOT NULL AS hit, h.final_response AS cached
+        FROM ruled r LEFT JOIN found f ON f.question_id = md5(r.request) LEFT JOIN events e ON 'e' || e.event_id = r.request_id
+        LEFT JOIN customer ON {AUDIO} = c_custkey || '.wav' LEFT JOIN verdicts i ON 'd' || i.doc_id = r.request_id
+        LEFT JOIN verdicts o ON 'd' || (o.doc_id - 1) = r.request_id LEFT JOIN cache h ON h.query_hash = md5(r.request)),
+    blocks AS (
+        SELECT *, nullif(concat_ws({BREAK}, CASE WHEN path IN ('documents', 'mixed') AND rag_result <> '' THEN {DOCUMENTS} || rag_result END,
+                         CASE WHEN path IN ('sql', 'mixed') AND tabular_result <> '' THEN {RESULTS} || tabular_result END), '') AS block
+        FROM gathered),
+    told AS (
+        SELECT *, CASE WHEN bad_in THEN {_q(fixed.INPUT_BLOCKED)}
+            WHEN path = 'voice' THEN CASE WHEN transcription IS NULL THEN {_q(_missing_before)} || audio_file || {_q(_missing_after)} END
+            WHEN path IN ('sql', 'mixed') AND sql_error IS NOT NULL THEN {_q(_failed_before)} || sql_error || {_q(_failed_after)}
+            WHEN block IS NULL THEN {_q(fixed.NO_CONTEXT)} END AS message,
+            CASE WHEN bad_in THEN 'blocked' WHEN hit THEN 'cached' ELSE 'answered' END AS outcome FROM blocks),
+    typed AS (
+        SELECT *, CASE WHEN outcome = 'cached' THEN 'rag' WHEN message IS NOT NULL THEN 'error'
+                       WHEN path = 'documents' THEN 'rag' ELSE path END AS kind FROM told),
+    worded AS (
+        SELECT *, CASE WHEN outcome = 'cached' THEN cached
+            WHEN kind = 'error' THEN {_json('error', error_message='message', suggested_fix='NULL')}
+            WHEN kind = 'rag' THEN {_json('rag', rag_content='block', sources='sources')}
+            WHEN kind = 'sql' THEN {_json('sql', summary='block', sql_query='sql_query', tabular_result='tabular_result')}
+            WHEN kind = 'mixed' THEN {_json('mixed', synthesized_answer='block', rag_sources='sources', sql_query='sql_query')}
+            ELSE {_json('voice', summary='transcription', transcription='transcription')} END AS response FROM typed),
+    checked AS (
+        SELECT question_id, session_id, user_query, outcome, CASE WHEN outcome = 'answered' THEN path END AS route, kind, message, bad_out,
+               CASE WHEN bad_out THEN {_q(fixed.OUTPUT_BLOCKED)} ELSE response END AS final_response FROM worded)"""
+
 ORACLES |= {
     "response_json": f"WITH {QUESTIONS}, {ANSWERED}, {_ALL_RESPONSES} SELECT response_id, final_response FROM all_responses",
     "response_parse": f"""
@@ -529,22 +586,14 @@ ORACLES |= {
     "answer_questions": f"""
         WITH {DOCS}, {CHUNKS}, {QUESTIONS}, {RETRIEVED}, {FOUND}, {CONTEXTS}
         SELECT question_id, engineered_context, final_response FROM answers""",
-    "answer_flow": f"""
-        WITH {DOCS}, {CHUNKS}, {QUESTIONS}, {ANSWERED}, {CACHE}, {VERDICTS}, {RETRIEVED}, {FOUND}, {CONTEXTS},
-        requests AS (SELECT question_id AS request_id, user_query AS request FROM questions),
-        ruled AS ({RULES}),
-        judged AS (SELECT a.*, coalesce(contains(lower(i.verdict), 'yes'), false) AS bad_in,
-                          coalesce(contains(lower(o.verdict), 'yes'), false) AS bad_out
-                   FROM answers a LEFT JOIN verdicts i ON i.doc_id = a.conv_id LEFT JOIN verdicts o ON o.doc_id - 1 = a.conv_id),
-        ended AS (
-            SELECT j.question_id, j.session_id, j.bad_out,
-                   CASE WHEN bad_in THEN 'blocked' WHEN c.query_hash IS NOT NULL THEN 'cached' ELSE 'answered' END AS outcome,
-                   CASE intent {_routes} ELSE 'sql' END AS path,
-                   CASE WHEN bad_in THEN CAST(json_object('response_type', 'error', 'session_id', j.session_id, 'user_query', j.user_query,
-                            'error_message', {_q(fixed.INPUT_BLOCKED)}, 'suggested_fix', NULL) AS VARCHAR)
-                        WHEN c.query_hash IS NOT NULL THEN c.final_response ELSE j.final_response END AS response
-            FROM judged j JOIN ruled r ON r.request_id = j.question_id LEFT JOIN cache c ON c.query_hash = md5(j.user_query))
-        SELECT question_id, session_id, outcome, CASE WHEN outcome = 'answered' THEN path END AS route,
-               CASE WHEN bad_out THEN {_q(fixed.OUTPUT_BLOCKED)} ELSE response END AS final_response
-        FROM ended""",
+    "answer_flow": f"{FLOW} SELECT question_id, session_id, outcome, route, kind, final_response FROM checked",
+    "answer_flow_cache": f"""
+        {FLOW}, fresh AS (
+            SELECT md5(user_query) AS query_hash, kind FROM checked
+            WHERE outcome = 'answered' AND NOT coalesce(bad_out, false) AND kind <> 'error' GROUP BY ALL)
+        SELECT 'cache' AS place, coalesce(f.query_hash, c.query_hash) AS query_hash, coalesce(f.kind, 'rag') AS detail
+        FROM cache c FULL JOIN fresh f ON f.query_hash = c.query_hash
+        UNION ALL
+        SELECT 'errors', md5(user_query), coalesce(CASE WHEN NOT coalesce(bad_out, false) THEN message END, final_response)
+        FROM checked WHERE kind = 'error'""",
 }

@@ -88,7 +88,7 @@ def table_scan(spark, sf_dir):
 def csv_scan(spark, sf_dir):
     source = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     path = new_folder(spark, "csv")
-    source.write.options(header=True, escape='"', quoteAll=True).csv(path)
+    source.write.options(header=True, escape='"', quoteAll=True, nullValue=files.CSV_NULL).csv(path)
     return files.csv_scan(spark, path, source.schema)
 
 
@@ -766,13 +766,30 @@ def answer_questions(spark, sf_dir):
     return answers.select("question_id", "engineered_context", "final_response")
 
 
-@query
-def answer_flow(spark, sf_dir):
-    """Screening, cache, routing, retrieval, response and output check in one plan."""
-    verdicts = given.question_verdicts(spark, sf_dir)
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = given.verdict_texts(spark, sf_dir)
+    label = lambda number: F.concat(F.lit("d"), number.cast("string")).alias("question_id")
+    verdicts = judged.select(label(F.col("doc_id")), "verdict")
     # the responses are judged by the verdict of the next-numbered document
-    shifted = given.verdict_texts(spark, sf_dir).select((F.col("doc_id") - 1).alias("conv_id"), "verdict")
-    out_verdicts = given.questions(spark, sf_dir).join(shifted, "conv_id").select("question_id", "verdict")
+    out_verdicts = judged.select(label(F.col("doc_id") - 1), "verdict")
     return flow.screened_flow(
-        given.questions(spark, sf_dir), verdicts, _cache(spark, sf_dir), _chunks(spark, sf_dir), out_verdicts
+        given.flow_questions(spark, sf_dir), verdicts, _cache(spark, sf_dir), _chunks(spark, sf_dir),
+        given.sql_results(spark, sf_dir), given.recordings(spark, sf_dir), out_verdicts,
     )
+
+
+@query
+def answer_flow(spark, sf_dir):
+    """Screening, cache, the answer of each route and output check in one plan."""
+    return _flow(spark, sf_dir).drop("user_query")
+
+
+@query
+def answer_flow_cache(spark, sf_dir):
+    """The cache after the flow, its answers and errors: by kind of response."""
+    answered = written(_flow(spark, sf_dir), "answers")
+    kept = flow.cache_after(answered, _cache(spark, sf_dir), given.clock(1)).select(
+        F.lit("cache").alias("place"), "query_hash", F.get_json_object("final_response", "$.response_type").alias("detail"))
+    failed = flow.errors_of(answered).select(
+        F.lit("errors").alias("place"), F.md5("user_query").alias("query_hash"), F.col("error_message").alias("detail"))
+    return kept.unionByName(failed)

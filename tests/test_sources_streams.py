@@ -146,3 +146,14 @@ def test_error_stream_restart(spark):
         jobs.stream_error_log(spark.readStream.schema(schema).parquet(src), path, checkpoint).awaitTermination()
     got = spark.read.parquet(path).collect()
     assert len(got) == 1 and got[0]["timestamp"] == dt.datetime(2026, 1, 1)
+
+
+def test_csv_tells_empty_from_null(spark, tmp_path):
+    rows = [(1, "", None), (2, None, "a\nb"), (3, 'say "x", y', "\\")]
+    source = spark.createDataFrame(rows, "id int, a string, b string")
+    path = str(tmp_path / "csv")
+    source.write.options(header=True, escape='"', quoteAll=True, nullValue=files.CSV_NULL).csv(path)
+    assert sorted(map(tuple, files.csv_scan(spark, path, source.schema).collect())) == rows
+    (tmp_path / "plain.csv").write_text('id,a\n1,""\n2,\n')
+    plain = files.csv_scan(spark, str(tmp_path / "plain.csv"), "id int, a string", multi_line=False)
+    assert sorted(map(tuple, plain.collect())) == [(1, ""), (2, None)]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import fixed
+from quern.functions.text import strip_markup
 from quern.operators import conversation, intent, responses, screening
 from quern.operators.intent import audio_name
 
@@ -158,3 +159,15 @@ def test_every_kind_of_response_round_trips(spark):
         assert back["response_type"] == kind and back["id"] == 1
         for n in names:
             assert back[n] == (source[n] if n in df.columns else None)
+
+
+def test_entities_and_comments(spark):
+    cases = {
+        "a&amp;lt;b": "a&lt;b",
+        "x <!-- a > b --> y": "x y",
+        "&lt;b&gt; &#65;&#x1F600; &#0; &#xD800; &bogus; & &nbsp;z": "<b> A\U0001F600 &#0; &#xD800; &bogus; & z",
+        "<p>one</p><!-- <p>two</p>\n -->": "one",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "html string")
+    got = {r.html: r.plain for r in df.select("html", strip_markup(F.col("html")).alias("plain")).collect()}
+    assert got == cases
