@@ -274,3 +274,46 @@ def test_packed_ids_are_the_documents(spark, frame):
             assert ids in texts and ids == np.array([*whole.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
     none = packing.pack(frame([], DOCS))
     assert none.pieces.count() == 0 and none.places.count() == 0
+
+
+def test_near_copies_at_the_threshold_go(spark, frame):
+    rnd = random.Random(17)
+    rows, n = [], 0
+    for _ in range(40):
+        base = [f"v{rnd.randrange(100_000)}" for _ in range(rnd.randrange(20, 300))]
+        for _ in range(rnd.randrange(1, 5)):
+            copy = list(base)
+            for _ in range(rnd.randrange(0, max(1, len(base) // 30))):
+                copy[rnd.randrange(len(copy))] = f"v{rnd.randrange(100_000)}"
+            rows.append(doc(n, " ".join(copy)))
+            n += 1
+    crowd = [f"v{rnd.randrange(100_000)}" for _ in range(200)]
+    for i in range(120):  # one crowded bucket in most bands
+        copy = list(crowd)
+        copy[rnd.randrange(200)] = f"u{i}"
+        rows.append(doc(1000 + i, " ".join(copy)))
+    rows += [doc(None, "lone words without any id here"), doc(None, "lone words without any id here"), doc(2000, None)]
+    rows += [doc(2001, " "), doc(2002, "A b"), doc(2003, "a\tB"), doc(2004, "y " * 90_000), doc(2004, "y " * 90_000)]
+    got = simhash.without_near_duplicates(frame(rows, DOCS))
+    assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
+
+    least, sets = list(range(len(rows))), [simhash._shingles((r[1] or "").lower().encode(), 5) for r in rows]
+
+    def find(i):
+        return i if least[i] == i else find(least[i])
+
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) / union >= 0.8:
+                linked += 1
+                least[max(find(i), find(j))] = min(find(i), find(j))
+    best = {}
+    for i, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0)
+        best[find(i)] = min(best.get(find(i), key), key)
+    want = sorted(i for nameless, i in best.values() if not nameless)
+    ids = [r.doc_id for r in got.collect()]
+    assert sorted(i for i in ids if i is not None) == want and ids.count(None) == 1 and linked > 1000
+    assert simhash.without_near_duplicates(frame([], DOCS)).count() == 0
