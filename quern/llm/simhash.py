@@ -38,6 +38,8 @@ SEED = 42
 _SLICE = 1 << 16
 #: MinHash bands of the near-duplicate stage, their rows, shingles hashed at once there.
 BANDS, BAND_ROWS = 16, 4
+#: Bands each band is put together with where buckets are crowded.
+BAND_STEPS = 4
 _SKETCH_SLICE = 1 << 12
 
 
@@ -200,10 +202,10 @@ def _sketched(text: Column, words: int) -> Column:
     return of(body(text))
 
 
-def _band_pairs(shapes: DataFrame, crowded: int) -> DataFrame:
-    """Pairs (a, b) of shapes that share a band: all of a bucket's up to `crowded`
-    members, beyond that each member with one of them, another one in each band."""
-    posts = shapes.select("shape", F.explode("bands").alias("band"))
+def _bucket_pairs(posts: DataFrame, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that share a bucket among `posts` (shape, band): all of up to `crowded`
+    members, beyond that each member with one of them, another one in each bucket. And the
+    posts of the latter."""
     turned = F.col("shape").bitwiseXOR(F.col("band"))
     shared = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(turned).alias("least")).where("n > 1")
     met = posts.join(shared, "band")
@@ -211,9 +213,20 @@ def _band_pairs(shapes: DataFrame, crowded: int) -> DataFrame:
     paired = few.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(
         F.filter("all", lambda y: x < y), lambda y: F.struct(x.alias("a"), y.alias("b"))
     )))).alias("pair")).select("pair.a", "pair.b")
-    centre = F.col("least").bitwiseXOR(F.col("band"))
-    starred = met.where(F.col("n") > crowded).select(centre.alias("a"), F.col("shape").alias("b")).where("a != b")
-    return paired.unionByName(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    many = met.where(F.col("n") > crowded)
+    starred = many.select(F.col("least").bitwiseXOR(F.col("band")).alias("a"), F.col("shape").alias("b")).where("a != b")
+    return paired.unionByName(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), many
+
+
+def _band_pairs(shapes: DataFrame, crowded: int) -> DataFrame:
+    """Pairs (a, b) of shapes that share a band. Members of crowded buckets meet once more
+    in the buckets of two bands each."""
+    pairs, many = _bucket_pairs(shapes.select("shape", F.explode("bands").alias("band")), crowded)
+    again = shapes.join(many.select("shape").distinct(), "shape", "left_semi")
+    twos = [F.xxhash64(F.lit(i), F.lit(step), F.get("bands", F.lit(i)), F.get("bands", F.lit((i + step) % BANDS)))
+            for i in range(BANDS) for step in range(1, BAND_STEPS + 1)]
+    finer, _ = _bucket_pairs(again.select("shape", F.explode(F.array(*twos)).alias("band")), crowded)
+    return pairs.unionByName(finer)
 
 
 def _grid_pairs(shapes: DataFrame, crowded: int) -> DataFrame:
