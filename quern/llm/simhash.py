@@ -38,8 +38,8 @@ SEED = 42
 _SLICE = 1 << 16
 #: MinHash bands of the near-duplicate stage, their rows, shingles hashed at once there.
 BANDS, BAND_ROWS = 16, 4
-#: Bands each band is put together with where buckets are crowded.
-BAND_STEPS = 4
+#: Members of a crowded bucket, and shingles of these, that make a block of it.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 21
 _SKETCH_SLICE = 1 << 12
 
 
@@ -172,13 +172,19 @@ _FACTOR = _random.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.
 _SHIFT = _random.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 
 
+def _hashes(data: bytes, words: int) -> np.ndarray:
+    """Of a text's shingles, rising, each once."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(s), SEED) for s in _shingles(data, words)), np.uint64))
+
+
 def sketch(data: bytes, words: int) -> tuple[int, int, list[int]]:
     """Of the set of a text's shingles: a digest, the fingerprint, the MinHash bands.
 
     Repeats count once here, as they do in a Jaccard similarity.
     """
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter((digest(b" ".join(s), SEED) for s in _shingles(data, words)), np.uint64))
+    hashes = _hashes(data, words)
     counts = np.zeros(64, np.int64)
     least = np.full(len(_FACTOR), (1 << 32) - 1, np.uint64)
     for start in range(0, len(hashes), _SKETCH_SLICE):
@@ -202,31 +208,87 @@ def _sketched(text: Column, words: int) -> Column:
     return of(body(text))
 
 
-def _bucket_pairs(posts: DataFrame, crowded: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that share a bucket among `posts` (shape, band): all of up to `crowded`
-    members, beyond that each member with one of them, another one in each bucket. And the
-    posts of the latter."""
-    turned = F.col("shape").bitwiseXOR(F.col("band"))
-    shared = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(turned).alias("least")).where("n > 1")
+def _band_pairs(shapes: DataFrame, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of shapes that share a band's bucket of up to `crowded` members, and
+    the distinct shapes in larger ones."""
+    posts = shapes.select("shape", F.explode("bands").alias("band"))
+    shared = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = posts.join(shared, "band")
     few = met.where(F.col("n") <= crowded).groupBy("band").agg(F.collect_list("shape").alias("all"))
     paired = few.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(
         F.filter("all", lambda y: x < y), lambda y: F.struct(x.alias("a"), y.alias("b"))
     )))).alias("pair")).select("pair.a", "pair.b")
-    many = met.where(F.col("n") > crowded)
-    starred = many.select(F.col("least").bitwiseXOR(F.col("band")).alias("a"), F.col("shape").alias("b")).where("a != b")
-    return paired.unionByName(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), many
-
-
-def _band_pairs(shapes: DataFrame, crowded: int) -> DataFrame:
-    """Pairs (a, b) of shapes that share a band. Members of crowded buckets meet once more
-    in the buckets of two bands each."""
-    pairs, many = _bucket_pairs(shapes.select("shape", F.explode("bands").alias("band")), crowded)
-    again = shapes.join(many.select("shape").distinct(), "shape", "left_semi")
-    twos = [F.xxhash64(F.lit(i), F.lit(step), F.get("bands", F.lit(i)), F.get("bands", F.lit((i + step) % BANDS)))
-            for i in range(BANDS) for step in range(1, BAND_STEPS + 1)]
-    finer, _ = _bucket_pairs(again.select("shape", F.explode(F.array(*twos)).alias("band")), crowded)
-    return pairs.unionByName(finer)
+    return paired, met.where(F.col("n") > crowded).select("shape").distinct()
+
+
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Bits that tell, per remainder, whether an odd number of a set's hashes has it. Two
+    sets differ in as many hashes as their bits do, or more."""
+    mean = sum(map(len, sets)) // max(1, len(sets))
+    bits = 1 << min(16, max(9, (8 * mean).bit_length()))
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for i, hashes in enumerate(sets):
+        odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
+
+
+def linked(
+    sets: list[np.ndarray], bands: np.ndarray, at: int, side: np.ndarray | None, similarity: float
+) -> list[tuple[int, int]]:
+    """Links (i, j) of sets of hashes with a Jaccard similarity of `similarity` or more:
+    they connect whatever such pairs connect, so each is one link fewer to look for.
+
+    All pairs count, with `side` only those of unlike sides. Pairs that share a band
+    before band `at` are left to the bucket of that one. Pairs are passed over only where
+    sizes or parities rule them out; the others are compared whole.
+    """
+    size, parity = np.array([len(s) for s in sets]), _parities(sets)
+    label = np.arange(len(sets))
+    most = (1 - similarity) / (1 + similarity)
+    found = []
+    for i in range(len(sets) - 1):
+        rest = slice(i + 1, len(sets))
+        fits = (label[rest] != label[i]) & (abs(size[rest] - size[i]) <= (size[rest] + size[i]) * most + 1e-6)
+        if side is not None:
+            fits &= side[rest] != side[i]
+        j = np.flatnonzero(fits) + i + 1
+        j = j[~(bands[j, :at] == bands[i, :at]).any(axis=1)]
+        differ = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1, dtype=np.int64)
+        for k in j[differ <= (size[j] + size[i]) * most + 1e-6].tolist():
+            if label[k] != label[i]:
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if both >= (similarity - 1e-9) * (size[i] + size[k] - both):
+                    found.append((i, k))
+                    label[label == label[k]] = label[i]
+    return found
+
+
+def _crowd_links(crowds: DataFrame, similarity: float, crowded: int) -> DataFrame:
+    """Links (a, b) within the buckets of more than `crowded` members, every pair looked
+    at. `crowds` (shape, bands, hashes) has all members of these.
+
+    A bucket is cut into blocks of bounded size and these are compared two by two, so no
+    task holds more than two. What a task returns grows with its members, not their square.
+    """
+    posts = crowds.select("shape", (F.length("hashes") / 8).alias("size"), F.posexplode("bands").alias("at", "band"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    buckets = posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where(
+        F.col("n") > crowded).select("band", blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("shape", "band"), F.col("blocks")).cast("int")
+    cells = posts.join(buckets, "band").select("shape", "at", "band", "blocks", own.alias("own")).select(
+        "shape", "at", "band", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "shape", "at", "band", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def links_of(cell: pd.DataFrame) -> pd.DataFrame:
+        shape, side = cell["shape"].to_numpy(np.int64), cell["own"].to_numpy()
+        sets = [np.frombuffer(h, np.uint64) for h in cell["hashes"]]
+        across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
+        found = linked(sets, np.stack(cell["bands"].to_list()), int(cell["at"].iloc[0]), side if across else None, similarity)
+        one, other = np.array(found, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": shape[one], "b": shape[other]})
+
+    return cells.join(crowds, "shape").groupBy("band", "lo", "hi").applyInPandas(links_of, "a long, b long")
 
 
 def _grid_pairs(shapes: DataFrame, crowded: int) -> DataFrame:
@@ -243,9 +305,12 @@ def similar(
     rows: DataFrame, shapes: DataFrame, text_col: str, words: int, similarity: float, crowded: int = CROWDED
 ) -> DataFrame:
     """Links (a, b) of shapes whose texts' shingle sets have a Jaccard similarity of
-    `similarity` or more, compared whole. `shapes` names a row of `rows` for each."""
-    pairs = Saved(_grid_pairs(shapes, crowded).unionByName(_band_pairs(shapes, crowded)).distinct(), "pairs").df
-    met = pairs.select(F.explode(F.array("a", "b")).alias("shape")).distinct()
+    `similarity` or more, compared whole. `shapes` names a row of `rows` for each. Crowds
+    are connected without listing every pair."""
+    few, many = _band_pairs(shapes, crowded)
+    pairs = Saved(_grid_pairs(shapes, crowded).unionByName(few).distinct(), "pairs").df
+    many = Saved(many, "crowded").df
+    met = pairs.select(F.explode(F.array("a", "b")).alias("shape")).unionByName(many).distinct()
     wanted = shapes.join(met, "shape").select("shape", "_quern_row")
     text = body(F.col(text_col)).alias("text")
     texts = Saved(rows.select("_quern_row", text).join(wanted, "_quern_row").select("shape", "text"), "texts", "zstd").df
@@ -254,8 +319,15 @@ def similar(
     def alike(one: pd.Series, other: pd.Series) -> pd.Series:
         return pd.Series([jaccard(a, b, words) >= similarity - 1e-9 for a, b in zip(one, other)], dtype=bool)
 
+    @F.pandas_udf(T.BinaryType())
+    def hashes(bodies: pd.Series) -> pd.Series:
+        return pd.Series([_hashes(b, words).tobytes() for b in bodies], dtype=object)
+
     one, other = (texts.select(F.col("shape").alias(n), F.col("text").alias(f"{n}_text")) for n in "ab")
-    return pairs.join(one, "a").join(other, "b").where(alike("a_text", "b_text")).select("a", "b")
+    near = pairs.join(one, "a").join(other, "b").where(alike("a_text", "b_text")).select("a", "b")
+    inside = shapes.join(many, "shape", "left_semi").select("shape", "bands").join(texts, "shape")
+    crowds = Saved(inside.select("shape", "bands", hashes("text").alias("hashes")), "crowds").df
+    return near.unionByName(_crowd_links(crowds, similarity, crowded))
 
 
 def without_near_duplicates(
@@ -268,7 +340,8 @@ def without_near_duplicates(
     `similarity` or more, and a group is what links connect. Two bits of 64 tell apart
     most pairs at 0.8, and the popcount bound rules out next to nothing at the 14 bits
     these would need. So MinHash bands propose pairs beside the grid: a pair at 0.8 stays
-    unseen with a chance of 2 in 10,000. Whatever is proposed is compared exactly.
+    unseen with a chance of 2 in 10,000. Whatever is proposed is compared exactly, and
+    buckets of any size are compared in full.
 
     Null, empty and blank texts are alike. Columns of any name pass through.
     """

@@ -317,3 +317,52 @@ def test_near_copies_at_the_threshold_go(spark, frame):
     ids = [r.doc_id for r in got.collect()]
     assert sorted(i for i in ids if i is not None) == want and ids.count(None) == 1 and linked > 1000
     assert simhash.without_near_duplicates(frame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("members, shingles", [(1024, 1 << 21), (40, 1 << 21), (1024, 8_000)])
+def test_near_copies_inside_a_crowd_are_found(frame, monkeypatch, members, shingles):
+    """Documents at 0.7 by a passage they all share, among them pairs at 0.82."""
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+    rnd = random.Random(17)
+    shared = [f"s{i}" for i in range(333)]
+    rows = []
+    for i in range(100):
+        own = [f"d{i}x{j}" for j in range(71)]
+        rows.append(doc(i, " ".join(shared + own)))
+        if i % 2:  # its last 39 words are others
+            rows.append(doc(1000 + i, " ".join(shared + own[:32] + [f"e{i}x{j}" for j in range(39)])))
+    rnd.shuffle(rows)
+    sets = {r[0]: simhash._shingles(r[1].encode(), 5) for r in rows}
+    alike = {frozenset((i, j)): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    pairs = {p for p, s in alike.items() if s >= 0.8}
+    assert pairs == {frozenset((i, 1000 + i)) for i in range(1, 100, 2)}
+    assert all(0.81 < s < 0.83 if p in pairs else 0.69 < s < 0.72 for p, s in alike.items())
+    got = simhash.without_near_duplicates(frame(rows, DOCS))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(100))
+
+
+def test_links_of_a_crowd_connect_what_all_pairs_connect():
+    rnd = np.random.default_rng(4)
+    common = rnd.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common[rnd.random(400) < q], rnd.integers(0, 1 << 63, 30, dtype=np.uint64)]))
+            for q in rnd.choice([0.85, 0.93, 0.97], 150)]
+    bands = rnd.integers(0, 2, (150, 3))
+    side = rnd.integers(0, 2, 150)
+    for at in (0, 1, 2):
+        for sides in (None, side):
+            want = {i: {i} for i in range(150)}
+            true = set()
+            for i in range(150):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if both / (len(sets[i]) + len(sets[j]) - both) < 0.8 or (bands[i, :at] == bands[j, :at]).any():
+                        continue
+                    if sides is None or side[i] != side[j]:
+                        true.add((j, i))
+                        if want[i] is not want[j]:
+                            want[i] |= want[j]
+                            for k in want[j]:
+                                want[k] = want[i]
+            found = simhash.linked(sets, bands, at, sides, 0.8)
+            assert set(found) <= true and len(found) == 150 - len({id(w) for w in want.values()}) > 20
