@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import body, prepared, table
 from quern.llm.linear import Model, Rows, fit, sigmoid
-from quern.llm.toxicity import labelled_sample
+from quern.llm.toxicity import labelled_sample, one_each
 
 #: Labelled documents, and unlabelled ones for pseudo-labels, at most: those with the
 #: smallest hashes of their ids. Scoring covers all documents.
@@ -198,7 +198,7 @@ def train(
     chosen = chosen.where("_id is not null").distinct().orderBy(order, "_id").limit(pool_rows)
     given = docs.select(F.col(id_col).alias("_id"), *(c.alias(f"_{n}") for n, c in columns.items()))
     pool = given.join(F.broadcast(chosen), "_id")  # `pool_rows` ids at most
-    pool = pool.orderBy(order, "_id", *(f"_{n}" for n in columns)).limit(pool_rows)
+    pool = one_each(pool).orderBy(order, "_id").limit(pool_rows)
 
     def got(df: DataFrame, *more: str) -> tuple[np.ndarray, pd.DataFrame, pd.DataFrame]:
         rows = df.select(of("_text").alias("stats"), *(f"_{n}" for n in PAGE), *more).toPandas()

@@ -26,8 +26,8 @@ from quern.llm.common import body, prepared, table
 from quern.llm.linear import Model, Rows, fit, folds, sigmoid, telling
 
 BUCKETS = 1 << 18
-#: Labelled documents the models are fitted on at most: those with the smallest hashes
-#: of their ids. All other steps cover all documents.
+#: Labelled documents the models are fitted on at most: of those given, the ones with the
+#: smallest hashes of their ids. All other steps cover all documents.
 SAMPLE_ROWS = 6_000
 FOLDS = 4
 THRESHOLD = 0.5
@@ -126,21 +126,30 @@ def fit_chain(rows: Rows, y: np.ndarray, names: Sequence[str]) -> Chain:
     return Chain(list(names), used, models)
 
 
+def one_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """`rows` with the smallest row of each `_id`; `keys` are the same in all rows of one."""
+    others = [c for c in rows.columns if c not in ("_id", *keys)]
+    least = rows.groupBy("_id", *keys).agg(F.min(F.struct(*others)).alias("_least"))
+    return least.select("_id", "_least.*", *keys)
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_col: str, columns: dict[str, Column], judgements: Sequence[str], limit: int
 ) -> DataFrame:
     """At most `limit` labelled documents: `columns` of them and their judgements.
 
     Rows with a null id or judgement are left out; of labels that repeat an id, the
-    smallest count.
+    smallest count. Labels of documents that are not given take no place, and a document
+    id takes one, however many rows have it.
     """
     order = F.xxhash64("_id")
     judged = labels.select(F.col(id_col).alias("_id"), *(F.col(j).cast("double").alias(f"_{j}") for j in judgements))
     judged = judged.dropna().groupBy("_id").agg(*(F.min(f"_{j}").alias(f"_{j}") for j in judgements))
-    chosen = judged.orderBy(order, "_id").limit(limit)
+    given_ids = docs.select(F.col(id_col).alias("_id")).distinct()
+    chosen = judged.join(given_ids, "_id", "left_semi").orderBy(order, "_id").limit(limit)
     given = docs.select(F.col(id_col).alias("_id"), *(c.alias(f"_{n}") for n, c in columns.items()))
     found = given.join(F.broadcast(chosen), "_id")  # `limit` rows of numbers at most
-    return found.orderBy(order, "_id", *(f"_{n}" for n in columns)).limit(limit)
+    return one_each(found, *(f"_{j}" for j in judgements)).orderBy(order, "_id").limit(limit)
 
 
 def train(

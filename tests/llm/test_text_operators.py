@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, licenses, packing, quality, simhash, toxicity
 from quern.llm.components import components
@@ -366,3 +367,14 @@ def test_links_of_a_crowd_connect_what_all_pairs_connect():
                                 want[k] = want[i]
             found = simhash.linked(sets, bands, at, sides, 0.8)
             assert set(found) <= true and len(found) == 150 - len({id(w) for w in want.values()}) > 20
+
+
+def test_labels_of_other_documents_and_repeats_take_no_place_in_the_sample(frame):
+    docs = frame([doc(i, f"text {i}") for i in range(30)] + [doc(7, f"copy {i}") for i in range(300)], DOCS)
+    labels = frame([(i, i % 2, None, "") for i in range(4000)], LABELS)
+    columns = {"text": F.col("text")}
+    got = toxicity.labelled_sample(docs, labels, "doc_id", columns, ["quality"], 20).collect()
+    assert len({r._id for r in got}) == len(got) == 20
+    got = toxicity.labelled_sample(docs, labels, "doc_id", columns, ["quality"], 50).collect()
+    assert {(r._id, r._text, r._quality) for r in got} == {(i, "copy 0" if i == 7 else f"text {i}", i % 2) for i in range(30)}
+    assert len(got) == 30
