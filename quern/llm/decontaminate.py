@@ -1,7 +1,7 @@
 """Passages of benchmark items in documents, by edit distance over words.
 
-An item of m words may differ by k = max(1, m // 5) inserted, lost or changed words. Cut
-into k + 1 pieces, at least one piece is left whole by k edits, so an Aho-Corasick
+An item of m words may differ by k = m // 5 inserted, lost or changed words; one of fewer
+than five words must be there as it is. Cut into k + 1 pieces, at least one piece is left whole by k edits, so an Aho-Corasick
 automaton over all pieces finds every place worth a look in one pass over a text. There
 Myers' bit-parallel recurrence gives the distance of the item to every end of a
 passage, word by word, each column being one arbitrarily long integer.
@@ -40,7 +40,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def budget(m: int) -> int:
-    return min(max(1, m // WORDS_PER_EDIT), m - 1)
+    return m // WORDS_PER_EDIT
 
 
 def distances(item: dict[str, int], m: int, words: Sequence[str], anchored: bool = False) -> Iterator[int]:
@@ -161,8 +161,8 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, first_word, end_word, distance) of each passage found.
 
-    Null or wordless texts and items match nothing. An item of one word must be there
-    as it is. Rows that repeat are answered each time; null ids stay null.
+    Null or wordless texts and items match nothing. An item of fewer than five words
+    must be there as it is. Rows that repeat are answered each time; null ids stay null.
     """
     prepared(docs.sparkSession)
     out = None

@@ -378,3 +378,15 @@ def test_labels_of_other_documents_and_repeats_take_no_place_in_the_sample(frame
     got = toxicity.labelled_sample(docs, labels, "doc_id", columns, ["quality"], 50).collect()
     assert {(r._id, r._text, r._quality) for r in got} == {(i, "copy 0" if i == 7 else f"text {i}", i % 2) for i in range(30)}
     assert len(got) == 30
+
+
+def test_items_of_few_words_must_be_there_as_they_are(frame):
+    assert [decontaminate.budget(m) for m in range(1, 12)] == [0, 0, 0, 0, 1, 1, 1, 1, 1, 2, 2]
+    bench = frame([(2, "red fox"), (3, "one two three"), (4, "a b c d")], "item_id long, text string")
+    texts = ["A red, fox.", "red foxes", "fox red", "a red big fox", "one two", "so one two THREE go", "one three",
+             "a b c", "a b c d", "a b x c d", "b c d a"]
+    docs = frame([doc(i, t) for i, t in enumerate(texts)], DOCS)
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, r.first_word, r.end_word, r.distance) for r in got} == {
+        (0, 2, 1, 3, 0), (5, 3, 1, 4, 0), (8, 4, 0, 4, 0)}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == set(range(11)) - {0, 5, 8}
