@@ -23,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import prepared, table
+from quern.llm.common import Saved, prepared, table
 
 #: Words of an item for each allowed edit.
 WORDS_PER_EDIT = 5
-#: Characters of items sent to the tasks at once; larger benchmarks go in several passes.
+#: Characters of items held by the driver and sent to the tasks at once, about; larger
+#: benchmarks go in several passes over the documents.
 BLOCK_CHARS = 8_000_000
 
-LEAK = "array<struct<item: int, first_word: int, end_word: int, distance: int>>"
-_LEAK = pa.list_(pa.struct([(n, pa.int32()) for n in ("item", "first_word", "end_word", "distance")]))
+LEAK = "array<struct<item: long, first_word: int, end_word: int, distance: int>>"
+_LEAK = pa.list_(pa.struct([("item", pa.int64()), *((n, pa.int32()) for n in ("first_word", "end_word", "distance"))]))
 _words = re.compile(r"\w+").findall
 
 
@@ -128,29 +129,32 @@ class Searcher:
         return found
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, list[str]]]]:
-    """The items with words in them, in blocks of bounded size."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).toLocalIterator():
-        if words := words_of(row.text):
-            if block and size + len(row.text) > BLOCK_CHARS:
-                yield block
-                block, size = [], 0
-            block.append((row.item_id, words))
-            size += len(row.text)
-    yield block
+def _numbered(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The items in the shared folder, each with a number of its own."""
+    number = F.monotonically_increasing_id().alias("number")
+    text = F.col(text_col).cast("string").alias("text")
+    return Saved(benchmark.select(number, F.col(id_col).alias("item_id"), text), "items").df
 
 
-def leaks(text: Column, items: Sequence[Sequence[str]]) -> Column:
-    """The passages of `items` in a text, each as its number, words and distance."""
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items with their numbers, in blocks of about `BLOCK_CHARS` dealt by hash. The
+    driver holds one at a time."""
+    n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
+    for block in range(n):
+        rows = items.where(F.pmod(F.xxhash64("number"), F.lit(n)) == block).select("number", "text").collect()
+        yield [(r.number, words_of(r.text)) for r in sorted(rows, key=lambda r: r.number)]
+
+
+def leaks(text: Column, block: Sequence[tuple[int, Sequence[str]]]) -> Column:
+    """The passages in a text of numbered items, each as that number, words and distance."""
     made: list[Searcher] = []
 
     @F.arrow_udf(LEAK)
     def search(texts: pa.Array) -> pa.Array:
         if not made:
-            made.append(Searcher(items))
+            made.append(Searcher([words for _, words in block]))
         names = ("item", "first_word", "end_word", "distance")
-        return pa.array([[dict(zip(names, x)) for x in made[0](t.as_py())] for t in texts], _LEAK)
+        return pa.array([[dict(zip(names, (block[n][0], *x))) for n, *x in made[0](t.as_py())] for t in texts], _LEAK)
 
     return search(text.cast("string"))
 
@@ -163,25 +167,35 @@ def contaminated(
 
     Null or wordless texts and items match nothing. An item of fewer than five words
     must be there as it is. Rows that repeat are answered each time; null ids stay null.
+    Of a benchmark of several blocks, the passages of each are written before the next.
     """
-    prepared(docs.sparkSession)
-    out = None
-    for block in _blocks(benchmark, item_col, item_text_col):
-        ids = F.array(*(F.lit(i) for i, _ in block)) if block else F.array(F.lit(None).cast("long"))
-        one = docs.select(
-            F.col(id_col).alias("doc_id"), F.explode(leaks(F.col(text_col), [w for _, w in block])).alias("leak"),
-        ).select("doc_id", ids[F.col("leak.item")].alias("item_id"), "leak.first_word", "leak.end_word", "leak.distance")
-        out = one if out is None else out.unionByName(one)
-    return out
+    spark = prepared(docs.sparkSession)
+    items = _numbered(benchmark, item_col, item_text_col)
+    found, paths = None, []
+    for block in _blocks(items):
+        if found is not None:
+            paths.append(Saved(found, "leaks").path)
+        found = docs.select(F.col(id_col).alias("doc_id"), F.explode(leaks(F.col(text_col), block)).alias("leak"))
+    if paths:
+        found = spark.read.schema(found.schema).parquet(*paths, Saved(found, "leaks").path)
+    named = found.join(items.select("number", "item_id"), F.col("leak.item") == F.col("number"))
+    return named.select("doc_id", "item_id", "leak.first_word", "leak.end_word", "leak.distance")
 
 
 def without_leaks(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """`docs` without those that hold a passage of any item."""
+    """`docs` without those that hold a passage of any item. Of a benchmark of several
+    blocks, what each leaves is written before the next."""
     prepared(docs.sparkSession)
-    for block in _blocks(benchmark, item_col, item_text_col):
-        docs = docs.where(F.size(leaks(F.col(text_col), [w for _, w in block])) == 0)
+    before = None
+    for n, block in enumerate(_blocks(_numbered(benchmark, item_col, item_text_col))):
+        if n:
+            after = Saved(docs, "clean")
+            if before:
+                before.drop()
+            docs, before = after.df, after
+        docs = docs.where(F.size(leaks(F.col(text_col), block)) == 0)
     return docs
 
 

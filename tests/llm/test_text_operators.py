@@ -390,3 +390,18 @@ def test_items_of_few_words_must_be_there_as_they_are(frame):
     assert {(r.doc_id, r.item_id, r.first_word, r.end_word, r.distance) for r in got} == {
         (0, 2, 1, 3, 0), (5, 3, 1, 4, 0), (8, 4, 0, 4, 0)}
     assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == set(range(11)) - {0, 5, 8}
+
+
+def test_a_benchmark_of_many_blocks_makes_no_larger_plan(frame, plan, monkeypatch):
+    rnd = random.Random(12)
+    items = [rnd.choices(WORDS, k=rnd.randrange(3, 30)) for _ in range(60)] + [[]]
+    rows = [doc(i, " ".join(rnd.choices(WORDS, k=20) + items[i % 61] + rnd.choices(WORDS, k=20))) for i in range(80)]
+    docs, bench = frame(rows, DOCS), frame([(f"i{i}", " ".join(w)) for i, w in enumerate(items)], "item_id string, text string")
+    want = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in want} >= {(i, f"i{i % 61}") for i in range(80) if i % 61 < 60}
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 700)
+    got, clean = decontaminate.contaminated(docs, bench), decontaminate.without_leaks(docs, bench)
+    assert sorted(got.collect()) == sorted(want)
+    assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {r.doc_id for r in want}
+    for df in got, clean:
+        assert plan(df).count("search(") <= 1 and "Union" not in plan(df) and "i59" not in plan(df)
