@@ -31,6 +31,10 @@ def _unpacked(data: np.ndarray, bits: int, n: int) -> np.ndarray:
     return out
 
 
+#: Questions answered at once, so that what they need beside the levels stays small.
+_ASKED = 1 << 16
+
+
 @dataclass
 class EliasFano:
     """A rising sequence (equal numbers may follow each other)."""
@@ -57,6 +61,71 @@ class EliasFano:
         return (top << np.uint64(self.bits)) | _unpacked(self.low, self.bits, self.n)
 
 
+class Searched:
+    """Numbers of a sequence and places in it, from the packed bits as they lie.
+
+    Beside them there is only how many ones come before every 64th of the high bits.
+    """
+
+    def __init__(self, level: EliasFano):
+        self.level = level
+        ones = np.bitwise_count(level.high)
+        self._ones = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), 8), dtype=np.int64))])
+        self._zeros = np.arange(len(self._ones), dtype=np.int64) * 64 - self._ones
+        self._top = int(self._select(np.array([level.n - 1]), True)[0]) - level.n + 1 if level.n else -1
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Where the k-th one (or zero) of the high bits is, from 0."""
+        high = self.level.high
+        before = self._ones if one else self._zeros
+        word = np.searchsorted(before, k, side="right") - 1
+        at = word[:, None] * 8 + np.arange(8)
+        found = np.where(at < len(high), high[np.minimum(at, len(high) - 1)], 0).astype(np.uint8)
+        seen = np.cumsum(np.unpackbits(found if one else ~found, axis=1, bitorder="little"), axis=1, dtype=np.uint8)
+        return word * 64 + (seen <= (k - before[word])[:, None]).sum(axis=1)
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        bits, low = self.level.bits, self.level.low
+        if not bits:
+            return np.zeros(len(i), np.uint64)
+        byte, off = np.divmod(i * bits, 8)
+        off = off.astype(np.uint64)
+        near = low[np.minimum(byte[:, None] + np.arange(9), len(low) - 1)]
+        wide = np.ascontiguousarray(near[:, :8]).view("<u8").ravel() >> off
+        last = near[:, 8].astype(np.uint64) << ((np.uint64(64) - off) & np.uint64(63))
+        return (wide | np.where(off > 0, last, np.uint64(0))) & np.uint64((1 << bits) - 1)
+
+    def numbers(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at places `i`."""
+        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.level.bits)) | self._low(i)
+
+    def _upto(self, top: np.ndarray) -> np.ndarray:
+        """How many numbers have these high bits or smaller ones."""
+        inside = np.clip(top, 0, self._top)
+        return np.where(top < 0, 0, np.where(top > self._top, self.level.n, self._select(inside, False) - inside))
+
+    def find(
+        self, wanted: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each wanted number, and whether it is there, of all places
+        or those from `start` to before `stop`."""
+        if not self.level.n:
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        top = np.minimum(wanted >> np.uint64(self.level.bits), np.uint64(self._top + 1)).astype(np.int64)
+        rest = wanted & np.uint64((1 << self.level.bits) - 1)
+        lo, end = self._upto(top - 1), self._upto(top)
+        if start is not None:
+            lo, end = np.maximum(lo, start), np.minimum(end, stop)
+        hi = np.maximum(lo, end)
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_]) // 2
+            less = self._low(mid) < rest[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+        inside = np.minimum(lo, self.level.n - 1)
+        return inside, (lo < end) & (self._low(inside) == rest)
+
+
 class Trie:
     """Contexts and the words that follow them, with a 16-bit code each.
 
@@ -91,37 +160,37 @@ class Trie:
             level.low, level.high = views[2 * i], views[2 * i + 1]
         self._codes = views[-1]
 
-    @property
-    def codes(self) -> np.ndarray:
-        return np.frombuffer(self._codes.tobytes(), "<u2")
-
     def reader(self) -> Reader:
-        return Reader(*(level.values() for level in self.levels), self.codes)
+        return Reader(*map(Searched, self.levels), self._codes.view("<u2"))
 
 
 @dataclass
 class Reader:
-    contexts: np.ndarray
-    words: np.ndarray
-    starts: np.ndarray
-    keys: np.ndarray
-    codes: np.ndarray
+    """Answers from the mapped levels, none of which is decoded."""
 
-    @staticmethod
-    def _place(level: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Successor of each wanted number in a level, and whether it is that number."""
-        at = np.searchsorted(level, wanted)
-        inside = np.minimum(at, max(0, len(level) - 1))
-        return inside, (level[inside] == wanted) if len(level) else np.zeros(len(wanted), bool)
+    contexts: Searched
+    words: Searched
+    starts: Searched
+    keys: Searched
+    codes: np.ndarray
 
     def look_up(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The codes of (context, word) pairs, 0 where a pair is not in the trie."""
-        context, known = self._place(self.contexts, contexts)
-        word, also = self._place(self.words, words)
-        key = context.astype(np.uint64) * np.uint64(max(1, len(self.words))) + word.astype(np.uint64)
-        at, there = self._place(self.keys, key)
-        there = there & known & also
-        if len(self.keys):  # the successor must lie among the context's own
-            there &= (at >= self.starts[context]) & (at < self.starts[np.minimum(context + 1, len(self.starts) - 1)])
-            return np.where(there, self.codes[at], 0).astype(np.uint16)
-        return np.zeros(len(words), np.uint16)
+        out = np.zeros(len(words), np.uint16)
+        for at in range(0, len(words), _ASKED):
+            out[at:at + _ASKED] = self._codes_of(contexts[at:at + _ASKED], words[at:at + _ASKED])
+        return out
+
+    def _codes_of(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(words), np.uint16)
+        context, place_v = np.unique(contexts, return_inverse=True)
+        word, place_w = np.unique(words, return_inverse=True)
+        context, known = self.contexts.find(context)
+        word, also = self.words.find(word)
+        ask = np.flatnonzero(known[place_v] & also[place_w])
+        if len(ask):  # the word is searched among the context's own only
+            start, stop = (self.starts.numbers(context + step).astype(np.int64)[place_v[ask]] for step in (0, 1))
+            key = context[place_v[ask]] * self.words.level.n + word[place_w[ask]]
+            at, there = self.keys.find(key.astype(np.uint64), start, stop)
+            out[ask] = np.where(there, self.codes[at], 0)
+        return out

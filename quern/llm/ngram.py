@@ -237,7 +237,7 @@ def _merge_pairs(asked: pd.DataFrame, total: int) -> pd.DataFrame:
     of, low = cv[seen][one], (cw[seen][one] + 1) / total
     trie = Trie(contexts, words, keys, _share_code(count, of))
     left_out = [float((count * np.log10((count - 1 + m * low) / (of - 1 + m))).sum()) for m in PRIORS]
-    del v, w, cv, cw, times, seen, key, place, place_v, place_w
+    del v, w, cv, cw, times, seen, key, place, place_v, place_w, contexts, words, keys, one, count, of, low
     reader = trie.reader()
     rows = [(-1, shard, packed(np.array(left_out)))]
     rows += [(block, shard, packed(reader.look_up(*b))) for block, b in zip(asked["block"], blobs)]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import chat, neighbours, ngram, url_filter
-from quern.llm.elias_fano import EliasFano, Trie
+from quern.llm.elias_fano import EliasFano, Searched, Trie
 
 RULES = [("block", "a.com"), ("allow", "a.com/x/"), ("block", "a.com/x/y"), ("allow", "b.a.com"), ("block", "org/"),
          ("allow", "org/"), ("block", "Shop.Example.NET/")]
@@ -128,6 +128,32 @@ def test_elias_fano_and_trie():
     assert reader.look_up(ask[:, 0], ask[:, 1]).tolist() == [stored.get((int(a), int(b)), 0) for a, b in ask]
 
 
+def test_the_trie_is_searched_without_decoding_its_levels(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(EliasFano, "values", lambda self: pytest.fail("a level was decoded"))
+    for n, top in ((0, 1), (1, 1 << 40), (1, 1), (1000, 900), (5000, 1 << 50), (3000, 1 << 63), (70, 1 << 13)):
+        values = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+        level = Searched(EliasFano.of(values))
+        assert (level.numbers(np.arange(n)) == values).all()
+        ask = np.concatenate([values, values + np.uint64(1), rng.integers(0, top, 500).astype(np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at, there = level.find(ask)
+        assert (there == np.isin(ask, values)).all()
+        assert (at[there] == np.searchsorted(values, ask[there])).all()
+        start, stop = np.sort(rng.integers(0, n + 1, (2, len(ask))), axis=0)
+        at, there = level.find(ask, start, stop)
+        first = [np.searchsorted(values[b:e], x) + b for x, b, e in zip(ask, start, stop)]
+        assert there.tolist() == [bool(f < e and values[f] == x) for f, e, x in zip(first, stop, ask)]
+        assert all(a == f for a, f, t in zip(at, first, there) if t)
+    contexts, words = (np.unique(rng.integers(0, 1 << 63, k, dtype=np.uint64)) * np.uint64(2) for k in (300, 9000))
+    keys = np.unique(rng.integers(0, len(contexts) * len(words), 200_000).astype(np.uint64))
+    codes = rng.integers(1, 60_000, len(keys)).astype(np.uint16)
+    v, w = np.divmod(keys, np.uint64(len(words)))
+    reader = Trie(contexts, words, keys, codes).reader()
+    assert (reader.look_up(contexts[v], words[w]) == codes).all()
+    assert not reader.look_up(contexts[v] + np.uint64(1), words[w]).any()
+    assert not reader.look_up(contexts[v], words[w] + np.uint64(1)).any()
+
+
 DOCS = "doc_id long, text string, score string"
 
 
