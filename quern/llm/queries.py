@@ -14,6 +14,7 @@ from quern.llm.neighbours import op7_nearest_neighbours
 from quern.llm.ngram import op10_lm_score
 from quern.llm.packing import op8_packing
 from quern.llm.quality import op4_quality
+from quern.llm.resample import op13_importance_resampling
 from quern.llm.simhash import op2_simhash
 from quern.llm.toxicity import op1_toxicity
 from quern.llm.url_filter import OP3_SQL, op3_url_filter
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (
         op1_toxicity, op2_simhash, op3_url_filter, op4_quality, op5_license_scan,
         op6_decontamination, op7_nearest_neighbours, op8_packing, op9_chat_format, op10_lm_score,
-        op11_source_divergence,
+        op11_source_divergence, op13_importance_resampling,
     )
 }
 
