@@ -205,7 +205,8 @@ def _cell(rows: pd.DataFrame) -> pd.DataFrame:
             b += others[rest]
             unused = _apart(one_none[i], other_none[rest])
             value.append(_apart(one[i], other[rest]).sum(axis=1) + (kept - len(names)) * unused)
-    return pd.DataFrame({"lang": rows["lang"].iloc[0], "a": a, "b": b, "value": np.concatenate(value)})
+    names = {"lang": [rows["lang"].iloc[0]] * len(a), "a": a, "b": b}
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in names.items()} | {"value": np.concatenate(value)})
 
 
 def pair_divergence(shares: DataFrame, groups: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ def _cell(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     rows = rows.sort_values(["block", "cid"], ignore_index=True)
     sides = [rows[rows["block"] == b] for b in sorted({lo, hi})]
     if len(sides) == 2 and not (len(sides[0]) and len(sides[1])):
-        return pd.DataFrame({"cid": [], "n_links": [], "other": []})
+        return pd.DataFrame({"cid": [], "n_links": [], "other": []}, dtype="int64")
     one, other = sides[0], sides[-1]
     u, v = _stack(one["unit"]), _stack(other["unit"])
     fresh = _first_here(one["leaves"].to_list(), other["leaves"].to_list(), leaf)
