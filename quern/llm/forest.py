@@ -34,8 +34,10 @@ SIMILARITY = 0.95
 TREES = 6
 #: Vectors up to which a node is a leaf; vectors of a block of a larger leaf.
 LEAF = 512
-#: Vectors a subtree is fitted on, at most about, and its levels.
-SAMPLE, LEVELS = 8192, 6
+#: Vectors a subtree is fitted on, at most about, the fewest a split is, and its levels.
+SAMPLE, LEAST, LEVELS = 8192, 32, 10
+#: Vectors of a node that are let down in one task.
+PART = 1 << 14
 #: Directions tried per split: that with the fewest vectors near the median is taken.
 DIRECTIONS = 8
 #: Spill margin, in standard deviations of the projected distance of a pair at the threshold.
@@ -74,7 +76,10 @@ def fitted(node: int, sample: np.ndarray, size: int, spill: float, leaf: int) ->
     todo = [(1, sample)]
     while todo:
         split, rows = todo.pop()
-        if split >= 1 << LEVELS or len(rows) * scale <= leaf or len(rows) < 2:
+        if split >= 1 << LEVELS or len(rows) * scale <= leaf:
+            continue
+        if len(rows) < LEAST and scale > 1:
+            taken[split] = -1
             continue
         along = rows @ directions(node, split, rows.shape[1]).T
         middle = np.median(along, axis=0)
@@ -88,6 +93,11 @@ def fitted(node: int, sample: np.ndarray, size: int, spill: float, leaf: int) ->
     return taken, at
 
 
+def later(subtree: Subtree, split: np.ndarray) -> np.ndarray:
+    """Which ends of a subtree may be split in a later round."""
+    return (split >= len(subtree[0])) | (subtree[0][np.minimum(split, len(subtree[0]) - 1)] == -1)
+
+
 def let_down(node: int, vectors: np.ndarray, subtree: Subtree, spill: float) -> tuple[np.ndarray, np.ndarray]:
     """(vector number, split number where it ends), several for a vector that spills."""
     taken, at = subtree
@@ -102,8 +112,13 @@ def let_down(node: int, vectors: np.ndarray, subtree: Subtree, spill: float) ->
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _stack(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(v, np.float64) for v in vectors])
+def _stack(vectors: pd.Series, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1)
+
+
+@F.pandas_udf(T.BinaryType())
+def _brief(units: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(u).astype(np.float32).tobytes() for u in units], dtype=object)
 
 
 def _child(node: np.ndarray | int, split: np.ndarray) -> np.ndarray:
@@ -116,42 +131,37 @@ def _child(node: np.ndarray | int, split: np.ndarray) -> np.ndarray:
 
 def _round(posts: DataFrame, vectors: DataFrame, sizes: DataFrame, similarity: float, leaf: int) -> DataFrame:
     """Posts (cid, node) of too large nodes, with their `sizes` (node, n), a subtree further
-    down: (cid, node, open)."""
-    drawn = posts.join(sizes, "node").where(
-        F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) * F.col("n") < F.lit(SAMPLE << 30)).join(vectors, "cid")
+    down: (cid, node, open). A node is let down in parts of bounded size."""
+    sized = posts.join(sizes, "node")
+    drawn = sized.where(F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) * F.col("n") < F.lit(SAMPLE << 30))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        node, sample = int(rows["node"].iloc[0]), _stack(rows.sort_values("cid")["unit"])
+        node, sample = int(rows["node"].iloc[0]), _stack(rows.sort_values("cid")["brief"], np.float32)
         subtree = fitted(node % (1 << 64), sample, int(rows["n"].iloc[0]), margin(similarity, sample.shape[1]), leaf)
         return pd.DataFrame({"node": [node], "taken": [subtree[0].tobytes()], "at": [subtree[1].tobytes()]})
 
-    fits = Saved(drawn.select("node", "n", "cid", "unit").groupBy("node").applyInPandas(
+    fits = Saved(drawn.join(vectors, "cid").select("node", "n", "cid", "brief").groupBy("node").applyInPandas(
         fit, "node long, taken binary, at binary"), "subtrees").df
 
-    @F.pandas_udf("array<struct<node: long, open: boolean>>")
-    def down(node: pd.Series, taken: pd.Series, at: pd.Series, units: pd.Series) -> pd.Series:
-        out = np.empty(len(node), object)
-        for number, rows in pd.Series(range(len(node))).groupby(node.to_numpy()).groups.items():
-            first, rows = rows[0], np.asarray(rows)
-            subtree = np.frombuffer(taken[first], np.int8), np.frombuffer(at[first], np.float64)
-            v, plain = _stack(units.iloc[rows]), number % (1 << 64)
-            of, split = let_down(plain, v, subtree, margin(similarity, v.shape[1]))
-            open_ = split >= len(subtree[0])
-            ends = [[] for _ in rows]
-            for i, child, o in zip(of, _child(plain, split).tolist(), open_.tolist()):
-                ends[i].append({"node": child, "open": o})
-            out[rows] = ends
-        return pd.Series(out)
-
-    # a node may hold any share of the posts: the join on it is one Spark can split
-    placed = posts.join(fits, "node").join(vectors, "cid").select(
-        "cid", F.explode(down("node", "taken", "at", "unit")).alias("to"))
-    return placed.select("cid", "to.node", "to.open")
+    def down(rows: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({"cid": [], "node": [], "open": []}).astype({"cid": "int64", "node": "int64", "open": bool})
+        node, v = int(rows["node"].iloc[0]) % (1 << 64), _stack(rows["brief"], np.float32)
+        subtree = np.frombuffer(fit["taken"].iloc[0], np.int8), np.frombuffer(fit["at"].iloc[0], np.float64)
+        of, split = let_down(node, v, subtree, margin(similarity, v.shape[1]))
+        return pd.DataFrame({"cid": rows["cid"].to_numpy()[of], "node": _child(node, split), "open": later(subtree, split)})
+
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    rows = sized.join(vectors, "cid").select("cid", "node", "brief", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"))
+    fits = fits.join(sizes, "node").select("node", "taken", "at", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return rows.groupBy("node", "part").cogroup(fits.groupBy("node", "part")).applyInPandas(
+        down, "cid long, node long, open boolean")
 
 
 def leaves(vectors: DataFrame, similarity: float, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """(cid, leaf) for `vectors` (cid, unit): each in one leaf or more of each tree."""
-    width = F.length("unit")
+    """(cid, leaf) for `vectors` (cid, and `brief` in single precision): each in one leaf
+    or more of each tree. Vectors of unlike width have trees of their own."""
+    width = F.length("brief")
     posts = vectors.select("cid", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), width.alias("w")).select(
         "cid", F.xxhash64("tree", "w").alias("node"), F.lit(True).alias("open"))
     done = None
@@ -220,12 +230,13 @@ def _cell(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
 def links(classes: DataFrame, similarity: float, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """(cid, n_links, other) by cell for `classes` (cid, unit, copies): the parts of each
     vector's number of links, and edges that connect what links connect."""
-    vectors = classes.select("cid", "unit")
+    brief = _brief("unit")
+    vectors = Saved(classes.select("cid", brief.alias("brief")), "brief").df
     posts = Saved(leaves(vectors, similarity, trees, leaf).distinct(), "leaves").df
     sizes = posts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         "leaf", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
     shared = Saved(posts.join(sizes, "leaf"), "leaves").df
-    own = shared.groupBy("cid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # one or a few a tree
+    own = shared.groupBy("cid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # a few a tree
     block = F.pmod(F.xxhash64("cid", "leaf"), F.col("blocks")).cast("int").alias("block")
     cells = shared.select("cid", "leaf", "blocks", block).select(
         "cid", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
