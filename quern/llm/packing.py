@@ -45,6 +45,9 @@ class WordIds:
     ignores their case, takes a run of them as one unit and parts marks from it, all of
     which is tried out first, its model gets the letters as they are, without the much
     slower normalising and splitting; everything else takes the whole way.
+
+    A text that holds an added token of the tokenizer (`<|endoftext|>`), which is found in
+    the text as it is, inside words too, is not split but encoded whole.
     """
 
     def __init__(self, path: str | None):
@@ -55,8 +58,11 @@ class WordIds:
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)  # for words: lower-cased, one may look like an added token
         self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content.encode()) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added)).search if added else lambda text: None
         self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -101,6 +107,14 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of texts in UTF-8."""
+        odd = [i for i, text in enumerate(texts) if self.added(text)]
+        if odd:
+            rest = [text for text in texts if not self.added(text)]
+            found = self.whole.encode_batch_fast([texts[i].decode("utf-8", "replace") for i in odd], add_special_tokens=False)
+            out = self(rest)
+            for i, encoding in zip(odd, found):
+                out.insert(i, array("I", encoding.ids).tobytes())
+            return out
         split = [(text.lower() if self.direct else text).split() for text in texts]
         if len(self.young) > KEPT_WORDS:
             self.old, self.young = self.young, {}

@@ -256,7 +256,6 @@ def test_packed_ids_are_the_documents(spark, frame):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    whole.encode_special_tokens = True
     rows = some_docs() + [doc(400, "Straße ÉTÉ it's 'S x1.5,; ΣΑΣ  ﬁ <|endoftext|>\u00a0a\x00b İ")]
     packed = packing.pack(frame(rows, DOCS), window=64)
     got = packed.pieces.join(packed.places, "piece_id").collect()
@@ -277,6 +276,24 @@ def test_packed_ids_are_the_documents(spark, frame):
     assert none.pieces.count() == 0 and none.places.count() == 0
 
 
+def test_ids_of_texts_with_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    encode = packing.WordIds(None)
+    rnd = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof text|>", "<|", "endoftext", "|>", " ", "\n", "a", "it's",
+             "Word", "x1.5", "\u00e9t\u00c9", "\u6f22", "\u00a0", "<|endoftext|", "\u0130", "e\u0301", "\u2028", "\x1c"]
+    texts = ["", *parts, "a<|endoftext|>b", "<|endoftext|> b", "a <|startoftext|>"]
+    texts += ["".join(rnd.choices(parts, k=rnd.randrange(1, 12))) for _ in range(10_000)]
+    for at in range(0, len(texts), 256):
+        some = texts[at:at + 256]
+        want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+        assert encode([t.encode() for t in some]) == want
+    assert sum("<|endoftext|>" in t for t in texts) > 1000
+
+
 def test_near_copies_at_the_threshold_go(spark, frame):
     rnd = random.Random(17)
     rows, n = [], 0
