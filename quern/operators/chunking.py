@@ -22,14 +22,16 @@ def with_chunk_id(
 
 
 def _chunk(
-    df: DataFrame, keep: list[str], text_col: str, size: int, overlap: int, boundary: bool
+    df: DataFrame, keep: list[str], text_col: str, size: int, overlap: int, boundary: bool, ends: bool = False
 ) -> DataFrame:
     parts = df.select(
         *keep, split_text(F.col(text_col), size, overlap, boundary).alias("_parts")
     )
-    chunks = parts.select(
-        *keep, F.posexplode(overlap_parts(F.col("_parts"), overlap)).alias("_pos", "text_content")
-    )
+    texts = overlap_parts(F.col("_parts"), overlap)
+    if ends:
+        none = F.array(F.lit(None).cast("string"))
+        texts = F.coalesce(F.concat(texts, none), none)
+    chunks = parts.select(*keep, F.posexplode(texts).alias("_pos", "text_content"))
     return chunks.select(*keep, F.col("_pos").cast("int").alias("chunk_index"), "text_content")
 
 
@@ -63,10 +65,15 @@ def chunk_table(
     overlap: int = CHUNK_OVERLAP,
     boundary: bool = False,
     keep: tuple[str, ...] = (),
+    ends: bool = False,
 ) -> DataFrame:
-    """Documents to rows of the chunk table. No shuffle: one pass over the texts."""
+    """Documents to rows of the chunk table. No shuffle: one pass over the texts.
+
+    With `ends`, a row without a text follows each document's last chunk; that of a
+    document without chunks is its only one.
+    """
     named = df.withColumn("source", F.col(path_col))
-    chunks = _chunk(named, ["source", *keep], text_col, size, overlap, boundary)
+    chunks = _chunk(named, ["source", *keep], text_col, size, overlap, boundary, ends)
     return with_chunk_id(with_doc_id(chunks)).select(
         "chunk_id", "source", "doc_hash", "chunk_index", "text_content", *keep
     )

@@ -6,76 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.operators.spread import spread_join
-
-# What may be sent to every task: this many rows of this many characters in all.
-SMALL_BATCH_ROWS = 20_000
-SMALL_BATCH_CHARS = 64_000_000
+from quern.sources.stored import StoredTable
 
 CHUNK_UPDATES = ("text_content", "doc_hash")
 CACHE_UPDATES = ("final_response", "session_id", "timestamp")
 
 
-def is_small(df: DataFrame, rows: int | None = None, chars: int | None = None) -> bool:
-    """Whether `df` is within both bounds.
-
-    Only row lengths are fetched, and `take` looks at more partitions only until
-    the bound is passed; a limit under an aggregate would run all of them.
-    """
-    rows = SMALL_BATCH_ROWS if rows is None else rows
-    chars = SMALL_BATCH_CHARS if chars is None else chars
-    size = F.lit(0)
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            size = size + F.coalesce(F.length(f.name), F.lit(0))
-    seen = df.select(size.cast("bigint")).take(rows + 1)
-    return len(seen) <= rows and sum(r[0] for r in seen) <= chars
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    """`df`, marked for broadcast if it is small; otherwise joins shuffle it."""
-    return F.broadcast(df) if is_small(df) else df
-
-
-def upsert(
-    target: DataFrame,
-    batch: DataFrame,
-    key: str,
-    update_cols: Sequence[str],
-    small_batch: bool | None = None,
-) -> DataFrame:
+def upsert(target: DataFrame, batch: DataFrame, key: str, update_cols: Sequence[str]) -> DataFrame:
     """The target after the batch: update on a known key, insert on a new one.
 
     On a known key `update_cols` come from the batch, even when null, and all
-    other columns stay. Both sides hold a key at most once (`latest_per_key`).
-
-    A batch of checked size is sent to the target, which stays where it lies and
-    is read once more for its keys alone; the keys known to both are no more than
-    the batch. A larger batch takes a full outer join, which moves each side once.
+    other columns stay. Both sides hold a key at most once (`latest_per_key`). Each
+    side is moved once, and read once. For a table that is kept in files, of which
+    only the touched part is to be moved, there is `StoredTable.upsert`.
     """
-    if small_batch is None:
-        small_batch = is_small(batch.select(key, *update_cols))
     cols = target.columns
     update = set(update_cols)
-
-    if small_batch:
-        changes = batch.select(
-            F.col(key), F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in update_cols]
-        )
-        kept = target.join(F.broadcast(changes), key, "left").select(
-            *[
-                F.when(F.col("_known"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-                if c in update
-                else F.col(c)
-                for c in cols
-            ]
-        )
-        known = target.select(key).join(F.broadcast(batch.select(key)), key, "left_semi")
-        new = batch.select(*cols).join(F.broadcast(known), key, "left_anti")
-        return kept.unionByName(new)
-
     t = target.select(F.col(key), F.struct(*cols).alias("_old"))
     b = batch.select(F.col(key), F.struct(*cols).alias("_new"))
     old, new = F.col("_old"), F.col("_new")
@@ -87,18 +35,23 @@ def upsert(
     return t.join(b, key, "full").select(*[pick(c) for c in cols])
 
 
-def upsert_chunks(target: DataFrame, batch: DataFrame, **kw) -> DataFrame:
-    return upsert(target, batch, "chunk_id", CHUNK_UPDATES, **kw)
+def upsert_chunks(target: DataFrame | StoredTable, batch: DataFrame) -> DataFrame | int:
+    """Chunks into a table: a stored one, or rows to rows."""
+    return _into(target, batch, "chunk_id", CHUNK_UPDATES)
 
 
-def upsert_cache(
-    target: DataFrame, batch: DataFrame, keep_errors: bool = False, **kw
-) -> DataFrame:
+def upsert_cache(target: DataFrame | StoredTable, batch: DataFrame, keep_errors: bool = False) -> DataFrame | int:
     """Cache upsert. Error responses are left out of the batch unless `keep_errors`."""
     if not keep_errors:
         kind = F.get_json_object("final_response", "$.response_type")
         batch = batch.where(F.coalesce(kind, F.lit("")) != "error")
-    return upsert(target, batch, "query_hash", CACHE_UPDATES, **kw)
+    return _into(target, batch, "query_hash", CACHE_UPDATES)
+
+
+def _into(target: DataFrame | StoredTable, batch: DataFrame, key: str, update_cols: Sequence[str]) -> DataFrame | int:
+    if isinstance(target, StoredTable):
+        return target.upsert(batch, update_cols)
+    return upsert(target, batch, key, update_cols)
 
 
 def latest_per_key(
@@ -114,23 +67,6 @@ def latest_per_key(
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def newest_rows(df: DataFrame, key: str, order_cols: Sequence[Column]) -> DataFrame:
-    """`latest_per_key` for wide rows whose keys seldom repeat.
-
-    Only the keys are shuffled to find the repeated ones. While those are few,
-    their rows alone go through the window and all others stay where they are.
-    """
-    repeated = df.groupBy(key).count().where("count > 1").select(key)
-    if repeated.isEmpty():
-        return df
-    if not is_small(repeated):
-        return latest_per_key(df, key, order_cols)
-    repeated = F.broadcast(repeated)
-    single = df.join(repeated, key, "left_anti").select(*df.columns)
-    several = df.join(repeated, key, "left_semi").select(*df.columns)
-    return single.unionByName(latest_per_key(several, key, order_cols))
-
-
 def changed_rows(
     target: DataFrame, batch: DataFrame, key: str, content_cols: Sequence[str]
 ) -> DataFrame:
@@ -153,6 +89,34 @@ def changed_rows(
     )
 
 
+def change_feed(
+    before: DataFrame, after: DataFrame, key: str, content_cols: Sequence[str]
+) -> DataFrame:
+    """What leads from one state to the other: (key, change, before, after), a row per key
+    that is inserted, updated or deleted; `before` and `after` are structs of the contents,
+    null where there is none. Both sides hold a key at most once.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(key, F.struct(*content_cols).alias(name))
+
+    both = side(before, "before").join(side(after, "after"), key, "full")
+    change = (
+        F.when(F.col("before").isNull(), "insert")
+        .when(F.col("after").isNull(), "delete")
+        .when(~F.col("before").eqNullSafe(F.col("after")), "update")
+    )
+    return both.select(key, change.alias("change"), "before", "after").where("change is not null")
+
+
+def apply_feed(table: StoredTable, feed: DataFrame, update_cols: Sequence[str]) -> int:
+    """A change feed into a stored table whose columns the feed's structs hold."""
+    rows = feed.select(
+        feed.columns[0], *(F.coalesce(F.col("after")[c], F.col("before")[c]).alias(c) if c not in update_cols
+                           else F.col("after")[c].alias(c) for c in feed.schema["after"].dataType.fieldNames()),
+        (F.col("change") == "delete").alias("_deleted"))
+    return table.upsert(rows, update_cols, F.col("_deleted"))
+
+
 def stale_chunks(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Chunks of documents in the batch whose chunk is in the batch no more."""
     documents = batch.select("doc_hash").distinct()

@@ -14,6 +14,7 @@ from quern.operators.retrieval import TOP_K, retrieval_answers, text_retrieve
 from quern.operators.screening import filter_output, screen_input
 from quern.operators.spread import spread_join
 from quern.operators.upsert import upsert_cache
+from quern.sources.stored import StoredTable
 
 
 def answer_from_documents(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -131,8 +132,11 @@ def screened_flow(
         answer_flow(questions, verdicts, cache, chunks, results, recordings, k), output_verdicts)
 
 
-def cache_after(answered: DataFrame, cache: DataFrame, clock: Column | None = None) -> DataFrame:
-    """The cache with the new answers of a flow. Errors and replaced responses stay out."""
+def cache_after(
+    answered: DataFrame, cache: DataFrame | StoredTable, clock: Column | None = None
+) -> DataFrame | int:
+    """The cache with the new answers of a flow, or their upsert into a stored one. Errors
+    and replaced responses stay out."""
     new = answered.where((F.col("outcome") == "answered") & (F.col("final_response") != OUTPUT_BLOCKED))
     return upsert_cache(cache, cache_entries(new, clock))
 

@@ -286,6 +286,16 @@ ORACLES: dict[str, str] = {
                CAST(max(length(text_content)) AS INTEGER) AS longest
         FROM chunks GROUP BY origin""",
     "upsert_chunks": f"{STREAMED} SELECT * FROM upserted",
+    "delete_chunks": f"""
+        {STREAMED} SELECT * FROM upserted
+        WHERE doc_hash NOT IN (SELECT doc_hash FROM arrived) OR chunk_id IN (SELECT chunk_id FROM arrived)""",
+    "change_feed": f"""
+        WITH {DOCS}, {ARRIVALS}, {CHUNKS}, {ARRIVED},
+        known AS (SELECT * FROM chunks WHERE doc_hash IN (SELECT doc_hash FROM arrived))
+        SELECT coalesce(b.chunk_id, t.chunk_id) AS chunk_id,
+               CASE WHEN t.chunk_id IS NULL THEN 'insert' WHEN b.chunk_id IS NULL THEN 'delete' ELSE 'update' END AS change,
+               md5(t.text_content) AS before, md5(b.text_content) AS after
+        FROM known t FULL JOIN arrived b ON t.chunk_id = b.chunk_id WHERE t.text_content IS DISTINCT FROM b.text_content""",
     "upsert_cache": f"""
         WITH {QUESTIONS}, {ANSWERED}, {CACHE},
         incoming AS (
@@ -574,8 +584,11 @@ ORACLES |= {
                CAST(sum(n) AS BIGINT) AS characters
         FROM all_responses GROUP BY kind""",
     "stream_ingest": f"{STREAMED} SELECT * FROM upserted",
+    "stream_compact": f"{STREAMED} SELECT * FROM upserted",
     "stream_index_sync": f"""
-        {STREAMED}, {_terms('terms', 'upserted', 'chunk_id', 'text_content')}
+        {STREAMED}, live AS (SELECT * FROM upserted
+            WHERE doc_hash NOT IN (SELECT doc_hash FROM arrived) OR chunk_id IN (SELECT chunk_id FROM arrived)),
+        {_terms('terms', 'live', 'chunk_id', 'text_content')}
         SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, CAST(tf AS INTEGER) AS tf FROM terms""",
     "index_resync": f"""
         {STREAMED}, {_terms('terms', 'upserted', 'chunk_id', 'text_content')}

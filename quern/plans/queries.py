@@ -26,7 +26,9 @@ from quern.plans import answer_flow as flow
 from quern.plans import inputs as given
 from quern.plans.inputs import read
 from quern.session import apply_settings, new_folder, written
+from quern.operators.spread import spread_join
 from quern.sources import files, tables
+from quern.sources.stored import StoredTable
 from quern.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,9 +155,35 @@ def chunk_stats(spark, sf_dir):
 
 # ---- upserts -----------------------------------------------------------------
 
+def _chunk_store(spark: SparkSession, sf_dir: str) -> StoredTable:
+    """A stored chunk table after the documents and then what arrives."""
+    table = StoredTable.create(spark, new_folder(spark, "chunk-table"), fixed.CHUNK_SCHEMA, "chunk_id")
+    for batch in (_chunks(spark, sf_dir), _arrived(spark, sf_dir)):
+        upsert.upsert_chunks(table, batch)
+    return table
+
+
 @query
 def upsert_chunks(spark, sf_dir):
-    return upsert.upsert_chunks(_chunks(spark, sf_dir), _arrived(spark, sf_dir))
+    return _chunk_store(spark, sf_dir).read()
+
+
+@query
+def delete_chunks(spark, sf_dir):
+    """The stored table without the chunks that documents no longer have."""
+    table = _chunk_store(spark, sf_dir)
+    table.delete(upsert.stale_chunks(_chunks(spark, sf_dir), _arrived(spark, sf_dir)))
+    return table.read()
+
+
+@query
+def change_feed(spark, sf_dir):
+    """What the arrivals do to the chunks, with digests of the texts before and after."""
+    before, after = _chunks(spark, sf_dir), _arrived(spark, sf_dir)
+    known = spread_join(before, after.select("doc_hash").distinct(), ["doc_hash"], "left_semi")
+    feed = upsert.change_feed(known, after, "chunk_id", ["text_content"])
+    digest = lambda side: F.md5(F.col(side)["text_content"]).alias(side)
+    return feed.select("chunk_id", "change", digest("before"), digest("after"))
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +194,12 @@ def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.cache_entries(responses.response_json(known, "rag"), given.clock())
 
 
+def _stored_cache(spark: SparkSession, sf_dir: str) -> StoredTable:
+    table = StoredTable.create(spark, new_folder(spark, "cache"), fixed.CACHE_SCHEMA, "query_hash")
+    upsert.upsert_cache(table, _cache(spark, sf_dir))
+    return table
+
+
 @query
 def upsert_cache(spark, sf_dir):
     """Answers come again as SQL responses, unanswered questions as errors."""
@@ -187,8 +221,9 @@ def upsert_cache(spark, sf_dir):
         .unionByName(responses.response_json(failed, "error").select(*cols))
         .unionByName(responses.response_json(system, "voice").select(*cols))
     )
-    merged = upsert.upsert_cache(_cache(spark, sf_dir), cache.cache_entries(batch, given.clock(1)))
-    return merged.select(
+    table = _stored_cache(spark, sf_dir)
+    upsert.upsert_cache(table, cache.cache_entries(batch, given.clock(1)))
+    return table.read().select(
         "query_hash", "user_query", "final_response", "session_id",
         F.date_format("timestamp", "yyyy-MM-dd").alias("day"),
     )
@@ -725,8 +760,17 @@ def stream_ingest(spark, sf_dir):
     return jobs.chunk_rows(spark, _ingested(spark, sf_dir))
 
 
+@query
+def stream_compact(spark, sf_dir):
+    """The chunk table after its batches have been merged."""
+    table = _ingested(spark, sf_dir)
+    jobs.compact_chunks(spark, table)
+    return jobs.chunk_rows(spark, table)
+
+
 @query
 def stream_index_sync(spark, sf_dir):
+    """Vectors of the chunks that documents have as of their last revision."""
     chunks, index = _ingested(spark, sf_dir), new_folder(spark, "index")
     _run(jobs.stream_index_sync(spark, chunks, index, new_folder(spark, "checkpoint")))
     synced = jobs.synced_index(spark, index)
@@ -787,8 +831,9 @@ def answer_flow(spark, sf_dir):
 @query
 def answer_flow_cache(spark, sf_dir):
     """The cache after the flow, its answers and errors: by kind of response."""
-    answered = written(_flow(spark, sf_dir), "answers")
-    kept = flow.cache_after(answered, _cache(spark, sf_dir), given.clock(1)).select(
+    answered, table = written(_flow(spark, sf_dir), "answers"), _stored_cache(spark, sf_dir)
+    flow.cache_after(answered, table, given.clock(1))
+    kept = table.read().select(
         F.lit("cache").alias("place"), "query_hash", F.get_json_object("final_response", "$.response_type").alias("detail"))
     failed = flow.errors_of(answered).select(
         F.lit("errors").alias("place"), F.md5("user_query").alias("query_hash"), F.col("error_message").alias("detail"))

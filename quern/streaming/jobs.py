@@ -12,8 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quern.fixed import CHUNK_SCHEMA, ERROR_LOG_SCHEMA
 from quern.operators.chunking import chunk_table
 from quern.operators.retrieval import embed_chunks
-from quern.operators.upsert import CHUNK_UPDATES, newest_rows, small_side
-from quern.session import written
+from quern.operators.upsert import CHUNK_UPDATES
 from quern.sources.tables import error_rows, require_keys
 from quern.streaming import change_log
 
@@ -26,6 +25,9 @@ INDEX_SCHEMA = T.StructType([
 INDEX_UPDATES = ("content_hash", "tf", "embedding")
 CHUNK_VERSIONS = ("revision",)
 INDEX_VERSIONS = ("revision", "chunk_batch")
+# What a chunk belongs to, and its place there: they tell which chunks a revision ends before.
+PLACE = ("doc_hash", "chunk_index")
+INDEX_LOG_SCHEMA = T.StructType([*INDEX_SCHEMA.fields, *(CHUNK_SCHEMA[c] for c in PLACE)])
 # Incoming documents: path, text, and a revision number that orders copies of a path.
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -43,12 +45,14 @@ def ingest_stream(
 
     Every revision is chunked as it comes, without a shuffle, and the highest
     counts per chunk: the table is the same however the stream was cut into
-    micro-batches. A path and revision come with one text.
+    micro-batches. A path and revision come with one text. Each revision leaves a mark
+    where it ends, by which chunks that it no longer has can be told.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        chunks = require_keys(chunk_table(batch, "path", "text", keep=CHUNK_VERSIONS), "chunk_id")
-        change_log.write_batch(chunks, table, batch_id)
+        chunks = require_keys(chunk_table(batch, "path", "text", keep=CHUNK_VERSIONS, ends=True), "chunk_id")
+        marked = chunks.withColumn(change_log.END, F.col("text_content").isNull())
+        change_log.write_batch(marked, table, batch_id)
 
     return _start(documents, add, checkpoint, trigger)
 
@@ -68,11 +72,20 @@ def stream_ingest(
     return ingest_stream(documents, table, checkpoint, trigger)
 
 
-def chunk_rows(spark: SparkSession, table: str) -> DataFrame:
-    """The chunk table as `stream_ingest` has left it."""
-    return change_log.current(
-        spark, table, CHUNK_SCHEMA, "chunk_id", CHUNK_UPDATES, CHUNK_VERSIONS
-    )
+def chunk_rows(spark: SparkSession, table: str, stale: bool = True) -> DataFrame:
+    """The chunk table as `stream_ingest` has left it. Chunks that a later revision of
+    their document no longer has stay, as upserts leave them, unless `stale` is false."""
+    place = () if stale else PLACE
+    return change_log.current(spark, table, CHUNK_SCHEMA, "chunk_id", CHUNK_UPDATES, CHUNK_VERSIONS, *place)
+
+
+def compact_chunks(spark: SparkSession, table: str) -> int:
+    """Merge the finished batches of a chunk log; see `change_log.compact`."""
+    return change_log.compact(spark, table, CHUNK_SCHEMA, "chunk_id", CHUNK_VERSIONS, *PLACE)
+
+
+def compact_index(spark: SparkSession, table: str) -> int:
+    return change_log.compact(spark, table, INDEX_LOG_SCHEMA, "chunk_id", INDEX_VERSIONS, *PLACE)
 
 
 def index_rows(chunks: DataFrame, versions: Sequence[str] = ()) -> DataFrame:
@@ -94,7 +107,9 @@ def stream_index_sync(
 ) -> StreamingQuery:
     """Chunks that `stream_ingest` adds below `src` get their vectors in `table`.
 
-    Of several rows of a chunk the newest counts, in whatever order they come.
+    Of several rows of a chunk the newest counts, in whatever order they come. A batch is
+    embedded as it comes, in one pass without a shuffle; marks of where revisions end go
+    along, so that vectors of chunks that are gone can be left out.
     """
     chunks = (
         spark.readStream.schema(change_log.log_schema(CHUNK_SCHEMA, CHUNK_VERSIONS))
@@ -104,35 +119,36 @@ def stream_index_sync(
     )
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        newest = newest_rows(
-            batch, "chunk_id", [*(F.desc(v) for v in INDEX_VERSIONS), F.desc("text_content")]
-        )
-        change_log.write_batch(index_rows(newest, INDEX_VERSIONS), table, batch_id)
+        carried = [*INDEX_VERSIONS, *PLACE, change_log.END]
+        change_log.write_batch(index_rows(batch, carried), table, batch_id)
 
     return _start(chunks, add, checkpoint, trigger)
 
 
 def synced_index(spark: SparkSession, table: str) -> DataFrame:
-    return change_log.current(
-        spark, table, INDEX_SCHEMA, "chunk_id", INDEX_UPDATES, INDEX_VERSIONS
+    """The vectors of the chunks that documents have as of their newest revisions."""
+    index = change_log.current(
+        spark, table, INDEX_LOG_SCHEMA, "chunk_id", INDEX_UPDATES, INDEX_VERSIONS, *PLACE
     )
+    return index.drop(*PLACE)
 
 
 def index_resync(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """The index after a full reconcile with the chunk table.
 
     Vectors of unchanged chunks are kept, changed and new chunks are embedded, and
-    vectors without a chunk go. Only keys and hashes are compared; while the
-    differences are few, neither texts nor vectors are moved.
+    vectors without a chunk go. Only ids and hashes of the other side are moved to
+    either; when few remain, Spark sends those instead of moving texts or vectors.
     """
-    now = chunks.select("chunk_id", F.md5("text_content").alias("now"))
-    then = index.select("chunk_id", F.col("content_hash").alias("then"))
-    different = written(
-        now.join(then, "chunk_id", "full").where(~F.col("now").eqNullSafe(F.col("then"))), "differences"
-    )
-    leave = small_side(different.where("then is not null").select("chunk_id"))
-    renew = small_side(different.where("now is not null").select("chunk_id"))
-    kept = index.join(leave, "chunk_id", "left_anti").select(*INDEX_SCHEMA.fieldNames())
+    now = chunks.select("chunk_id", F.md5("text_content").alias("content_hash"))
+    same = ["chunk_id", "content_hash"]
+
+    def alike(a: DataFrame, b: DataFrame):
+        return (a["chunk_id"] == b["chunk_id"]) & a["content_hash"].eqNullSafe(b["content_hash"])
+
+    kept = index.join(now, alike(index, now), "left_semi").select(*INDEX_SCHEMA.fieldNames())
+    then = index.select(*same)
+    renew = now.join(then, alike(now, then), "left_anti").select("chunk_id")
     return kept.unionByName(index_rows(chunks.join(renew, "chunk_id", "left_semi")))
 
 

@@ -127,6 +127,97 @@ def test_a_batch_that_runs_again_changes_nothing(spark):
         assert got == [("k", "first source", "h2", 0, "t2"), ("n", "s", "h", 0, None)]
 
 
+def _log(spark, name="log"):
+    table, ends = new_folder(spark, name), change_log.END
+    schema = "chunk_id string, source string, doc_hash string, chunk_index int, text_content string, revision long, " + f"{ends} boolean"
+
+    def doc(key, revision, *texts):
+        rows = [(f"{key}_{i}", f"src{revision}", key, i, t, revision, False) for i, t in enumerate(texts)]
+        return [*rows, (f"{key}_{len(texts)}", f"src{revision}", key, len(texts), None, revision, True)]
+
+    def write(batch, *docs):
+        change_log.write_batch(spark.createDataFrame([r for d in docs for r in d], schema), table, batch)
+
+    return table, doc, write
+
+
+def both(spark, table):
+    return tuple(sorted(map(tuple, jobs.chunk_rows(spark, table, stale).collect())) for stale in (True, False))
+
+
+def test_chunks_of_shortened_documents_are_told_in_any_order(spark):
+    table, doc, write = _log(spark)
+    write(0, doc("a", 2, "new a0"), doc("b", 0, "b0", "b1", "b2"), doc("c", 0, "c0"))
+    write(1, doc("a", 1, "a0", "a1", "a2"), doc("b", 1, "B0", "B1"), doc("d", 0))
+    write(2, doc("b", 2, "bb0", "bb1", "bb2", "bb3"), doc("c", 1))
+    stale, live = both(spark, table)
+    assert {r[0]: r[4] for r in live} == {"a_0": "new a0", "b_0": "bb0", "b_1": "bb1", "b_2": "bb2", "b_3": "bb3"}
+    assert {r[0] for r in stale} - {r[0] for r in live} == {"a_1", "a_2", "c_0"}
+
+
+def test_compaction_changes_no_row_and_bears_replays(spark):
+    table, doc, write = _log(spark)
+    write(0, doc("a", 0, "a0", "a1"), doc("b", 1, "b0"))
+    write(1, doc("a", 1, "A0"), doc("b", 0, "old b0", "old b1"))
+    before = both(spark, table)
+    reader = jobs.chunk_rows(spark, table)
+    assert jobs.compact_chunks(spark, table) == 1
+    assert both(spark, table) == before
+    write(1, doc("a", 1, "A0"), doc("b", 0, "old b0", "old b1"))  # runs again after the merge
+    assert both(spark, table) == before
+    write(2, doc("a", 2, "aa0", "aa1"), doc("c", 0, "c0"))
+    later = both(spark, table)
+    assert {r[0]: r[4] for r in later[1]} == {"a_0": "aa0", "a_1": "aa1", "b_0": "b0", "c_0": "c0"}
+    write(3, doc("a", 1, "again, and longer", "x", "y"))  # an old revision, late
+    expected = both(spark, table)
+    assert jobs.compact_chunks(spark, table) == 3 and both(spark, table) == expected
+    assert jobs.compact_chunks(spark, table) == 3  # nothing new
+    assert sorted(map(tuple, reader.collect())) == before[0]
+    change_log.clear(spark, table)
+    assert both(spark, table) == expected
+    assert not [n for n in os.listdir(table) if n.startswith("batch_id=")]
+
+
+def test_compaction_stops_at_an_unfinished_batch_and_bears_a_stop(spark, monkeypatch):
+    table, doc, write = _log(spark)
+    for batch in range(3):
+        write(batch, doc("a", batch, f"a{batch}"))
+    os.remove(f"{table}/batch_id=1/_SUCCESS")
+    expected = both(spark, table)
+    assert jobs.compact_chunks(spark, table) == 0 and both(spark, table) == expected
+    write(1, doc("a", 1, "a1"))
+    assert {r[4] for r in both(spark, table)[0]} == {"a2"}
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(files.Folder, "create", stop)
+        with pytest.raises(KeyboardInterrupt):
+            jobs.compact_chunks(spark, table)
+    assert {r[4] for r in both(spark, table)[0]} == {"a2"}
+    assert jobs.compact_chunks(spark, table) == 2
+
+
+def test_a_stream_reads_past_a_base_and_the_index_forgets(spark):
+    src, table, index = (new_folder(spark, n) for n in ("src", "chunks", "index"))
+    ingest_at, sync_at = new_folder(spark, "cp"), new_folder(spark, "cp")
+    live = {}
+    for revision, text in enumerate(["x" * 2500, "short", "y" * 1500, None]):
+        drop(spark, src, [("a", text, revision), (f"only{revision}", "other", 0)])
+        jobs.stream_ingest(spark, src, table, ingest_at).awaitTermination()
+        jobs.stream_index_sync(spark, table, index, sync_at).awaitTermination()
+        live = {k: v for k, v in as_dict(jobs.chunk_rows(spark, table, stale=False)).items()}
+        got = {r["chunk_id"]: tuple(r["tf"]) for r in jobs.synced_index(spark, index).collect()}
+        fresh = retrieval.embed_chunks(jobs.chunk_rows(spark, table, stale=False), "chunk_id", "text_content")
+        assert got == {r["chunk_id"]: tuple(r["tf"]) for r in fresh.collect()}
+        if revision == 1:
+            jobs.compact_chunks(spark, table)
+            jobs.compact_index(spark, index)
+    assert sorted(live.values()) == ["other"] * 4
+    assert len(as_dict(jobs.chunk_rows(spark, table))) == 7
+
+
 def test_resync_drops_keeps_and_renews(spark):
     def chunks(pairs):
         return spark.createDataFrame(pairs, "chunk_id string, text_content string")

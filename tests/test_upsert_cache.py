@@ -1,7 +1,6 @@
 import datetime as dt
 import hashlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import cache, upsert
@@ -14,23 +13,13 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize("small", [True, False, None])
-def test_update_keep_insert(spark, small):
+def test_update_keep_insert(spark):
     target = spark.createDataFrame([("1", "a1", "b1"), ("2", "a2", "b2"), ("3", "a3", "b3")], SCHEMA)
     batch = spark.createDataFrame([("2", "A2", "B2"), ("3", None, "B3"), ("4", "A4", None)], SCHEMA)
-    once = upsert.upsert(target, batch, "key", ["a"], small_batch=small)
+    once = upsert.upsert(target, batch, "key", ["a"])
     expected = [("1", "a1", "b1"), ("2", "A2", "b2"), ("3", None, "b3"), ("4", "A4", None)]
     assert rows(once) == expected
-    assert rows(upsert.upsert(once, batch, "key", ["a"], small_batch=small)) == expected
-
-
-def test_small_batch_does_not_move_the_target(spark, small_dir, plan):
-    target = spark.read.parquet(f"{small_dir}/orders.parquet").withColumn("k", F.col("o_orderkey").cast("string"))
-    batch = target.where("o_orderkey = 5")
-    text = plan(upsert.upsert(target, batch, "k", ["o_orderstatus"], small_batch=True))
-    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
-    large = plan(upsert.upsert(target, batch, "k", ["o_orderstatus"], small_batch=False))
-    assert "FullOuter" in large
+    assert rows(upsert.upsert(once, batch, "key", ["a"])) == expected
 
 
 def test_latest_per_key_limits_before_the_shuffle(spark, plan):
@@ -41,15 +30,6 @@ def test_latest_per_key_limits_before_the_shuffle(spark, plan):
     assert text.index("WindowGroupLimit") < text.index("Exchange") < text.rindex("WindowGroupLimit")
 
 
-@pytest.mark.parametrize("bound", [0, 1, 100])
-def test_newest_rows_same_as_latest_per_key(spark, bound, monkeypatch):
-    monkeypatch.setattr(upsert, "SMALL_BATCH_ROWS", bound)
-    df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2), ("c", 1), ("c", 0), (None, 1), (None, 2)], "k string, t int")
-    kept = df.where("k is not null")
-    assert rows(upsert.newest_rows(kept, "k", [F.desc("t")])) == [("a", 3), ("b", 2), ("c", 1)]
-    assert rows(upsert.newest_rows(kept.where("k = 'b'"), "k", [F.desc("t")])) == [("b", 2)]
-
-
 def test_changed_rows_tells_null_from_empty(spark):
     target = spark.createDataFrame([("1", ""), ("2", None), ("3", "same"), ("5", None)], "k string, v string")
     batch = spark.createDataFrame([("1", None), ("2", None), ("3", "same"), ("4", None), ("5", "new")], "k string, v string")
@@ -57,6 +37,16 @@ def test_changed_rows_tells_null_from_empty(spark):
     assert got == {"1": "update", "2": "unchanged", "3": "unchanged", "4": "insert", "5": "update"}
 
 
+def test_change_feed_tells_all_kinds(spark):
+    schema = "k string, v string, w string"
+    before = spark.createDataFrame([("1", "a", "x"), ("2", None, "x"), ("3", "c", "x"), ("4", "d", "x")], schema)
+    after = spark.createDataFrame([("1", "a", "y"), ("2", "", "y"), ("4", None, "y"), ("5", None, "y")], schema)
+    got = {r["k"]: (r["change"], r["before"], r["after"]) for r in upsert.change_feed(before, after, "k", ["v"]).collect()}
+    assert {k: (c, b and b["v"], a and a["v"]) for k, (c, b, a) in got.items()} == {
+        "2": ("update", None, ""), "3": ("delete", "c", None), "4": ("update", "d", None), "5": ("insert", None, None)}
+    assert got["5"][2] is not None and got["5"][1] is None
+
+
 def test_query_hash_is_case_and_blank_sensitive(spark):
     texts = ["Wie groß?", "wie groß?", "Wie groß? "]
     df = spark.createDataFrame([(t,) for t in texts], "user_query string")
