@@ -440,13 +440,14 @@ ORACLES: dict[str, str] = {
     "vector_topk_lsh": """
         WITH planes AS (
             SELECT p, list(CASE WHEN CAST(('0x' || substr(md5(p || ':' || d), 1, 2)) AS INTEGER) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS plane
-            FROM range(64) a(p), range(64) b(d) GROUP BY p),
+            FROM range(128) a(p), range(64) b(d) GROUP BY p),
         signs AS (
-            SELECT vec_id, p // 4 AS band, p % 4 AS bit,
+            SELECT vec_id, p // 8 AS band, p % 8 AS bit,
                    CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), plane) >= 0 THEN 1 ELSE 0 END AS s
             FROM embeddings, planes),
         bands AS (SELECT vec_id, band, CAST(sum(s << bit) AS INTEGER) AS sig FROM signs GROUP BY 1, 2),
-        pairs AS (SELECT DISTINCT q.vec_id AS query_id, b.vec_id FROM bands q JOIN bands b ON q.band = b.band AND q.sig = b.sig),
+        probes AS (SELECT vec_id, band, xor(sig, unnest([0, 1, 2, 4, 8, 16, 32, 64, 128])) AS sig FROM bands),
+        pairs AS (SELECT DISTINCT q.vec_id AS query_id, b.vec_id FROM probes q JOIN bands b ON q.band = b.band AND q.sig = b.sig),
         scored AS (
             SELECT query_id, pairs.vec_id,
                    round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS s
