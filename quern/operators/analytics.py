@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.periods import period_ranges
 from quern.operators.spread import spread_join
 
 
@@ -107,6 +108,37 @@ def rolling_compare(
     return with_change(sums, "recent_value", "prior_value")
 
 
+def compare_periods(
+    questions: DataFrame, df: DataFrame, ts: str, measure: Column, id_col: str = "question_id", text_col: str = "user_query"
+) -> DataFrame:
+    """The two periods each question names (`period_ranges`), and what `measure` sums up
+    to in them: (id, a_from, a_to, b_from, b_to, value_a, value_b, difference, percent).
+    Questions that name none are left out; a period without rows has the value 0.
+
+    The rows are summed per month once, for all questions. A range of days begins and
+    ends with a month, so ranges meet the months by equality, each range once however
+    many questions name it.
+    """
+    newest = df.select(F.max(ts)).scalar().cast("date")
+    asked = questions.select(id_col, period_ranges(F.col(text_col), newest).alias("_p")).where("_p is not null")
+    asked = asked.select(id_col, "_p.*")
+    monthly = trend(df.where(F.col(ts).isNotNull()), ts, "month", {"_sum": F.sum(measure)})
+
+    sides = F.array(*(F.struct(F.col(f"{x}_from").alias("_from"), F.col(f"{x}_to").alias("_to")) for x in "ab"))
+    ranges = asked.select(F.explode(sides).alias("_r")).select("_r.*").distinct()
+    each = F.explode(F.expr("sequence(_from, add_months(_to, -1), interval 1 month)"))
+    spread = ranges.where("_from < _to").select("_from", "_to", each.alias("month"))
+    sums = spread.join(monthly, "month").groupBy("_from", "_to").agg(F.sum("_sum").alias("_value"))
+
+    for x in "ab":
+        side = sums.select(
+            F.col("_from").alias(f"{x}_from"), F.col("_to").alias(f"{x}_to"), F.col("_value").alias(f"value_{x}"))
+        asked = asked.join(side, [f"{x}_from", f"{x}_to"], "left")
+    value = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = asked.select(id_col, "a_from", "a_to", "b_from", "b_to", value("value_a"), value("value_b"))
+    return with_change(out, "value_a", "value_b")
+
+
 def drill_down(df: DataFrame, targets: Sequence[str] | DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows that hold a target value in any of `cols`.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.fixed import CHUNK_OVERLAP, CHUNK_SIZE
-from quern.functions.text import overlap_parts, split_text
+from quern.functions.text import overlap_parts, split_text, whole_piece_chunks
 from quern.operators.spread import running_offset
 
 
@@ -22,12 +22,15 @@ def with_chunk_id(
 
 
 def _chunk(
-    df: DataFrame, keep: list[str], text_col: str, size: int, overlap: int, boundary: bool, ends: bool = False
+    df: DataFrame, keep: list[str], text_col: str, size: int, overlap: int, boundary: bool, ends: bool = False,
+    pieces: bool = False,
 ) -> DataFrame:
-    parts = df.select(
-        *keep, split_text(F.col(text_col), size, overlap, boundary).alias("_parts")
-    )
-    texts = overlap_parts(F.col("_parts"), overlap)
+    if pieces:
+        parts = df.select(*keep, whole_piece_chunks(F.col(text_col), size, overlap).alias("_parts"))
+        texts = F.col("_parts")
+    else:
+        parts = df.select(*keep, split_text(F.col(text_col), size, overlap, boundary).alias("_parts"))
+        texts = overlap_parts(F.col("_parts"), overlap)
     if ends:
         none = F.array(F.lit(None).cast("string"))
         texts = F.coalesce(F.concat(texts, none), none)
@@ -57,6 +60,21 @@ def chunk_boundary(
     return _chunk(df, [id_col], text_col, size, overlap, boundary=True)
 
 
+def chunk_pieces(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+) -> DataFrame:
+    """Chunks of whole paragraphs where these fit, else of lines, words, characters.
+
+    The overlap is of whole pieces too, so it may be less than `overlap`, or none. A null
+    text has no chunks, an empty one a single empty chunk.
+    """
+    return _chunk(df, [id_col], text_col, size, overlap, boundary=False, pieces=True)
+
+
 def chunk_table(
     df: DataFrame,
     path_col: str,
@@ -66,14 +84,18 @@ def chunk_table(
     boundary: bool = False,
     keep: tuple[str, ...] = (),
     ends: bool = False,
+    pieces: bool = False,
 ) -> DataFrame:
     """Documents to rows of the chunk table. No shuffle: one pass over the texts.
 
+    Cuts lie at fixed places, or with `boundary` at line ends and blanks, or with `pieces`
+    where `chunk_pieces` has them.
+
     With `ends`, a row without a text follows each document's last chunk; that of a
     document without chunks is its only one.
     """
     named = df.withColumn("source", F.col(path_col))
-    chunks = _chunk(named, ["source", *keep], text_col, size, overlap, boundary, ends)
+    chunks = _chunk(named, ["source", *keep], text_col, size, overlap, boundary, ends, pieces)
     return with_chunk_id(with_doc_id(chunks)).select(
         "chunk_id", "source", "doc_hash", "chunk_index", "text_content", *keep
     )

@@ -57,6 +57,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): the documents, and each conversation with its turns as paragraphs."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    talks = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select(
+        F.concat(F.lit("conversation/"), F.col("conv_id").cast("string")).alias("path"),
+        F.array_join(F.transform("turns", lambda t: t["text"]), "\n\n").alias("text"))
+    return documents(spark, sf_dir).select("path", "text").unionByName(talks)
+
+
 def _revised(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents come again: good ones changed, the others shorter."""
     text = F.when(F.col("quality") == 1, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(
@@ -190,6 +199,24 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
+def period_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests, and questions that compare periods, worded from customers."""
+    key = F.col("c_custkey")
+    year = lambda n: (1995 + n % 7).cast("string")
+    text = (
+        F.when(key % 4 == 0, F.concat(F.lit("Compare "), year(key), F.lit(" vs "), year(F.col("c_nationkey")), F.lit(" sales.")))
+        .when(key % 4 == 1, F.concat(
+            F.lit("Q"), (1 + key % 3).cast("string"), F.lit(" "), year(key), F.lit(" versus March "), year(key + 1)))
+        .when(key % 4 == 2, F.concat(
+            F.lit("Sales of the Last "), (1 + key % 24).cast("string"), F.lit(" months vs. previous "),
+            (1 + F.col("c_nationkey") % 4).cast("string"), F.lit(" quarters?")))
+        .otherwise(F.concat(F.lit("Who is "), "c_name", F.lit(" vs "), year(key)))
+    )
+    made = read(spark, sf_dir, "customer").select(F.concat(F.lit("k"), key.cast("string")).alias("question_id"), text.alias("user_query"))
+    return requests(spark, sf_dir).select(
+        F.col("request_id").alias("question_id"), F.col("request").alias("user_query")).unionByName(made)
+
+
 def flow_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All requests as questions; turns belong to the session of their conversation."""
     conv = F.regexp_extract("request_id", r"^c(\d+)-", 1)
@@ -257,6 +284,31 @@ def intent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements over the view `quern_nation`, worded from regions and nations: with
+    aliases, with a common table expression, with wrong columns, and no queries."""
+    key, name = F.col("r_regionkey").cast("string"), F.col("r_name")
+    worded = {
+        "a": F.concat(F.lit("SELECT n.n_name AS who, count(*) AS how_many FROM quern_nation AS n WHERE n.n_regionkey = "), key,
+                      F.lit(" GROUP BY who ORDER BY who")),
+        "b": F.concat(F.lit("WITH own AS (SELECT n_name AS title FROM quern_nation WHERE n_regionkey = "), key,
+                      F.lit(") SELECT max(own.title) AS last FROM own -- "), name),
+        "c": F.concat(F.lit("SELECT n.r_name FROM quern_nation n WHERE n_regionkey = "), key),
+        "d": F.concat(F.lit("WITH own AS (SELECT n_name AS title FROM quern_nation) SELECT n_name FROM own WHERE title = '"), name, F.lit("'")),
+        "e": F.concat(F.lit("DROP VIEW quern_nation_"), key),
+    }
+    rows = read(spark, sf_dir, "region")
+    made = None
+    for mark, text in worded.items():
+        one = rows.select(F.concat(F.lit(mark), key).alias("query_id"), text.alias("query_text"))
+        made = one if made is None else made.unionByName(one)
+    again = read(spark, sf_dir, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("query_id"),
+        F.concat(F.lit("b"), F.col("n_regionkey").cast("string")).alias("_like"))
+    same = again.join(made.withColumnRenamed("query_id", "_like"), "_like").select("query_id", "query_text")
+    return made.unionByName(same)
+
+
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query texts: clean ones from parts, the free text of turns as unknown words."""
     clean = F.concat(

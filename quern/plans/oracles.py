@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quern import fixed
+from quern.functions.periods import MONTHS
+from quern.operators.sql_text import NOT_A_QUERY
 from quern.plans.inputs import COLUMNS
 
 
@@ -252,8 +254,40 @@ RULES = f"""SELECT request_id, request,
          ELSE 'descriptive' END AS intent
     FROM requests"""
 
+def _finer(parts: str, name: str, finer: str) -> str:
+    return f"flatten(list_transform({parts}, lambda {name}: CASE WHEN length({name}) <= 1000 THEN [{name}] ELSE {finer} END))"
+
+
+_WORDS = _finer("regexp_extract_all(l, '[^ ]* +|[^ ]+')", "w", "regexp_extract_all(w, '(?s).{1,1000}')")
+_LINES = _finer("regexp_extract_all(p, '[^\\n]*\\n+|[^\\n]+')", "l", _WORDS)
+PIECES = _finer("regexp_extract_all(text, '(?s).+?(?:\\n{2,}|\\z)')", "p", _LINES)
+
 STREAMED = f"WITH {DOCS}, {ARRIVALS}, {CHUNKS}, {ARRIVED}, {UPSERTED}"
 
+_SIDE = f"(?:q[1-4] |(?:{'|'.join(MONTHS)}) )?[0-9]{{4}}"
+_PERIODS = f"\\b({_SIDE}) (?:vs\\.?|versus) ({_SIDE})\\b"
+_SPANS = "\\blast ([0-9]{1,3}) (month|quarter|year)s? (?:vs\\.?|versus) (?:prior|previous) ([0-9]{1,3}) (month|quarter|year)s?\\b"
+_names = ", ".join(map(_q, MONTHS))
+
+
+def _month(side: str) -> str:
+    name = f"split_part({side}, ' ', 1)"
+    return (f"CASE WHEN length({side}) = 4 THEN 1 WHEN {side} LIKE 'q_ %' THEN 3 * CAST(substr({side}, 2, 1) AS INTEGER) - 2 "
+            f"ELSE list_position([{_names}], {name}) END")
+
+
+def _start(side: str) -> str:
+    return f"make_date(CAST({side}[-4:] AS INTEGER), {_month(side)}, 1)"
+
+
+def _length(side: str) -> str:
+    return f"to_months(CASE WHEN length({side}) = 4 THEN 12 WHEN {side} LIKE 'q_ %' THEN 3 ELSE 1 END)"
+
+
+def _months(n: str, unit: str) -> str:
+    return f"to_months(CAST({n} AS INTEGER) * CASE {unit} WHEN 'month' THEN 1 WHEN 'quarter' THEN 3 ELSE 12 END)"
+
+
 ORACLES: dict[str, str] = {
     "raw_to_text": f"SELECT page_id, {PLAIN} AS plain FROM pages",
     "table_scan": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 25",
@@ -273,6 +307,23 @@ ORACLES: dict[str, str] = {
             SELECT path, text, i + 1, pos + cut - 100, CAST({_cut('(pos + cut - 100)')} AS BIGINT)
             FROM steps WHERE pos + 999 < length(text))
         SELECT path, i AS chunk_index, substr(text, pos, cut) AS text_content FROM steps""",
+    # `c`: where each piece ends; a chunk goes from piece f to before piece e
+    "chunk_pieces": f"""
+        WITH RECURSIVE {DOCS}, texts AS (
+            SELECT path, text FROM docs UNION ALL
+            SELECT 'conversation/' || conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id),
+        cut AS (SELECT path, text, {PIECES} AS pieces FROM texts),
+        ends AS (SELECT path, text, list_prepend(0::BIGINT, list_transform(range(1, len(pieces) + 1),
+                     lambda i: list_sum(list_transform(pieces[1:i], lambda x: length(x)))::BIGINT)) AS c FROM cut),
+        steps AS (
+            SELECT path, 0::BIGINT AS i, 0::BIGINT AS f, (len(list_filter(c, lambda x: x <= 1000)) - 1)::BIGINT AS e FROM ends
+            UNION ALL
+            SELECT path, i + 1, s, (len(list_filter(c, lambda x: x <= c[s + 1] + 1000)) - 1)::BIGINT FROM (
+                SELECT steps.path, i, c, len(list_filter(c, lambda x: x < greatest(c[e + 1] - 100, c[e + 2] - 1000)))::BIGINT AS s
+                FROM steps JOIN ends USING (path) WHERE e < len(c) - 1))
+        SELECT md5(path) || '_' || i AS chunk_id, path AS source, md5(path) AS doc_hash, CAST(i AS INTEGER) AS chunk_index,
+               substr(text, c[f + 1] + 1, c[e + 1] - c[f + 1]) AS text_content
+        FROM steps JOIN ends USING (path)""",
     "chunk_id": f"WITH {DOCS}, {CHUNKS} SELECT source AS path, doc_hash, chunk_index, chunk_id FROM chunks",
     "chunk_multipart": """
         WITH parts AS (
@@ -361,6 +412,18 @@ ORACLES: dict[str, str] = {
     "run_sql": f"""
         SELECT l_suppkey, CAST(sum({MONEY('l_quantity')}) AS DOUBLE) AS total_quantity
         FROM lineitem GROUP BY 1 ORDER BY total_quantity DESC, l_suppkey LIMIT 100""",
+    "run_texts": f"""
+        WITH a AS (SELECT n_regionkey AS k, string_agg(line, chr(10) ORDER BY n_name) AS result FROM (
+                SELECT n_regionkey, n_name, CAST(json_object('who', n_name, 'how_many', n) AS VARCHAR) AS line
+                FROM (SELECT n_regionkey, n_name, count(*) AS n FROM nation GROUP BY ALL)) GROUP BY 1),
+        b AS (SELECT r_regionkey AS k, CAST(json_object('last', max(n_name)) AS VARCHAR) AS result
+              FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)
+        SELECT 'a' || r_regionkey AS query_id, NULL AS error, coalesce(result, '') AS sql_result FROM region LEFT JOIN a ON k = r_regionkey
+        UNION ALL SELECT 'b' || k, NULL, result FROM b
+        UNION ALL SELECT 'n' || n_nationkey, NULL, result FROM nation JOIN b ON k = n_regionkey
+        UNION ALL SELECT 'c' || r_regionkey, {_q(fixed.UNKNOWN_COLUMN.format(name='n.r_name'))}, NULL FROM region
+        UNION ALL SELECT 'd' || r_regionkey, {_q(fixed.UNKNOWN_COLUMN.format(name='n_name'))}, NULL FROM region
+        UNION ALL SELECT 'e' || r_regionkey, {_q(NOT_A_QUERY)}, NULL FROM region""",
     "filter_project": """
         SELECT o_orderkey, o_custkey AS account, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day
         FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000""",
@@ -413,6 +476,33 @@ ORACLES: dict[str, str] = {
         SELECT o_orderpriority, CAST(a AS DOUBLE) AS recent_value, CAST(b AS DOUBLE) AS prior_value,
                CAST(a - b AS DOUBLE) AS difference, round(CAST(a - b AS DOUBLE) * 100.0 / nullif(CAST(b AS DOUBLE), 0), 2) AS percent
         FROM s""",
+    "compare_periods": f"""
+        WITH {REQUESTS}, asked AS (
+            SELECT request_id AS question_id, lower(request) AS q FROM requests
+            UNION ALL
+            SELECT 'k' || c_custkey, lower(CASE c_custkey % 4
+                WHEN 0 THEN 'Compare ' || (1995 + c_custkey % 7) || ' vs ' || (1995 + c_nationkey % 7) || ' sales.'
+                WHEN 1 THEN 'Q' || (1 + c_custkey % 3) || ' ' || (1995 + c_custkey % 7) || ' versus March ' || (1995 + (c_custkey + 1) % 7)
+                WHEN 2 THEN 'Sales of the Last ' || (1 + c_custkey % 24) || ' months vs. previous ' || (1 + c_nationkey % 4) || ' quarters?'
+                ELSE 'Who is ' || c_name || ' vs ' || (1995 + c_custkey % 7) END) FROM customer),
+        newest AS (SELECT CAST(date_trunc('month', max(o_orderdate)) AS DATE) + INTERVAL 1 MONTH AS e FROM orders),
+        words AS (
+            SELECT question_id, e, regexp_extract(q, '{_PERIODS}', ['l', 'r']) AS n, regexp_extract(q, '{_SPANS}', ['n', 'u', 'm', 'v']) AS s
+            FROM asked, newest),
+        ranges AS (
+            SELECT question_id, CAST({_start("n.l")} AS DATE) AS a_from, CAST({_start("n.l")} + {_length("n.l")} AS DATE) AS a_to,
+                   CAST({_start("n.r")} AS DATE) AS b_from, CAST({_start("n.r")} + {_length("n.r")} AS DATE) AS b_to FROM words WHERE n.l <> ''
+            UNION ALL
+            SELECT question_id, CAST(e - {_months("s.n", "s.u")} AS DATE), CAST(e AS DATE),
+                   CAST(e - {_months("s.n", "s.u")} - {_months("s.m", "s.v")} AS DATE), CAST(e - {_months("s.n", "s.u")} AS DATE)
+            FROM words WHERE n.l = '' AND s.n <> ''),
+        daily AS (SELECT CAST(o_orderdate AS DATE) AS day, sum({MONEY('o_totalprice')}) AS v FROM orders GROUP BY 1),
+        spans AS (SELECT a_from AS f, a_to AS t FROM ranges UNION SELECT b_from, b_to FROM ranges),
+        sums AS (SELECT f, t, coalesce(sum(v), 0) AS v FROM spans LEFT JOIN daily ON day >= f AND day < t GROUP BY 1, 2)
+        SELECT question_id, CAST(a_from AS VARCHAR) AS a_from, CAST(a_to AS VARCHAR) AS a_to, CAST(b_from AS VARCHAR) AS b_from,
+               CAST(b_to AS VARCHAR) AS b_to, CAST(x.v AS DOUBLE) AS value_a, CAST(y.v AS DOUBLE) AS value_b,
+               CAST(x.v - y.v AS DOUBLE) AS difference, round(CAST(x.v - y.v AS DOUBLE) * 100.0 / nullif(CAST(y.v AS DOUBLE), 0), 2) AS percent
+        FROM ranges JOIN sums x ON x.f = a_from AND x.t = a_to JOIN sums y ON y.f = b_from AND y.t = b_to""",
     "drill_down": """
         SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'Customer#000000007') OR c_name IN ('BUILDING', 'Customer#000000007')""",
     "drill_down_frame": """

@@ -133,6 +133,12 @@ def chunk_boundary(spark, sf_dir):
     return chunking.chunk_boundary(given.documents(spark, sf_dir), "path", "text")
 
 
+@query
+def chunk_pieces(spark, sf_dir):
+    """Chunks of whole paragraphs, lines or words, keyed."""
+    return chunking.chunk_table(given.with_paragraphs(spark, sf_dir), "path", "text", pieces=True)
+
+
 @query
 def chunk_id(spark, sf_dir):
     chunks = chunking.chunk_fixed(given.documents(spark, sf_dir), "path", "text")
@@ -360,6 +366,13 @@ def run_sql(spark, sf_dir):
     return outcome.rows
 
 
+@query
+def run_texts(spark, sf_dir):
+    """A table of statements, each checked before it runs."""
+    tables.register_view(read(spark, sf_dir, "nation"), "quern_nation")
+    return sql_text.run_texts(given.statements(spark, sf_dir))
+
+
 # ---- analytic shapes ---------------------------------------------------------
 
 @query
@@ -481,6 +494,16 @@ def rolling_compare(spark, sf_dir):
     )
 
 
+@query
+def compare_periods(spark, sf_dir):
+    """From question texts to the order totals of the periods they name."""
+    out = analytics.compare_periods(
+        given.period_questions(spark, sf_dir), read(spark, sf_dir, "orders"), "o_orderdate", _money("o_totalprice"))
+    return out.select(
+        "question_id", *(F.col(c).cast("string").alias(c) for c in ("a_from", "a_to", "b_from", "b_to")),
+        *(F.col(c).cast("double").alias(c) for c in ("value_a", "value_b", "difference")), "percent")
+
+
 @query
 def drill_down(spark, sf_dir):
     """Customers narrowed to one market segment or one named customer."""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import fixed
+from quern.functions.periods import period_ranges
 from quern.functions.text import year_pair
 from quern.operators import analytics, catalog, sql_text
 
@@ -71,6 +72,30 @@ def test_run_sql_attempts(spark):
     assert sql_text.run_sql(spark, "SELECT * FROM range(500)").rows.count() == 100
 
 
+def test_texts_run_only_when_they_pass(spark):
+    spark.range(3).selectExpr("id", "id * 2 AS twice").createOrReplaceTempView("checked_rows")
+    texts = {
+        "alias": ("SELECT r.twice AS t, r.id AS t FROM checked_rows r WHERE r.id > 1", None, '{"t":4,"t":2}'),
+        "cte": ("WITH x AS (SELECT twice AS y FROM checked_rows) SELECT sum(x.y) s FROM x", None, '{"s":6}'),
+        "again": ("WITH x AS (SELECT twice AS y FROM checked_rows) SELECT sum(x.y) s FROM x", None, '{"s":6}'),
+        "scope": ("WITH x AS (SELECT twice AS y FROM checked_rows) SELECT twice FROM x", "The column 'twice'", None),
+        "qualified": ("SELECT r.nothing FROM checked_rows r", "The column 'r.nothing'", None),
+        "table": ("SELECT 1 FROM not_there", "TABLE_OR_VIEW_NOT_FOUND", None),
+        "words": ("please drop all", "Only queries", None),
+        "command": ("DROP VIEW checked_rows", "Only queries", None),
+        "syntax": ("SELECT FROM WHERE", "", None),
+        "none": (None, "Only queries", None),
+        "empty": ("-- a remark\n SELECT id FROM checked_rows WHERE id > 5", None, ""),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in texts.items()], "query_id string, query_text string")
+    got = {r["query_id"]: (r["error"], r["sql_result"]) for r in sql_text.run_texts(df).collect()}
+    assert set(got) == set(texts)
+    for name, (_, error, result) in texts.items():
+        assert got[name][1] == result, name
+        assert (got[name][0] is None) == (error is None) and (error or "") in (got[name][0] or ""), (name, got[name])
+    assert spark.table("checked_rows").count() == 3
+
+
 def test_result_text(spark):
     df = spark.createDataFrame([(1, "b", None), (1, "a", 2), (2, "c", 3)], "k int, x string, y int")
     got = {r["k"]: r["sql_result"] for r in sql_text.result_text(df, ["k"], ["x"]).collect()}
@@ -97,6 +122,31 @@ def test_period_texts(spark):
     assert [tuple(r) for r in df.select(a, b).collect()] == [(2024, 2023), (2024, 2022), (None, None)]
 
 
+def test_period_ranges(spark):
+    texts = {
+        "Compare 2024 vs 2023 total sales": ("2024-01-01", "2025-01-01", "2023-01-01", "2024-01-01"),
+        "q4 2023 versus Q1 2024": ("2023-10-01", "2024-01-01", "2024-01-01", "2024-04-01"),
+        "DECEMBER 2023 vs. May 2022!": ("2023-12-01", "2024-01-01", "2022-05-01", "2022-06-01"),
+        "last 6 months vs prior 6 months": ("2023-12-01", "2024-06-01", "2023-06-01", "2023-12-01"),
+        "Last 1 quarter vs previous 2 years and 2024 vs 2023": ("2024-03-01", "2024-06-01", "2022-03-01", "2024-03-01"),
+        "last 0 months vs prior 1 month": ("2024-06-01", "2024-06-01", "2024-05-01", "2024-06-01"),
+        "q5 2024 vs 2023": ("2024-01-01", "2025-01-01", "2023-01-01", "2024-01-01"), "2024 and 2023": None, "12024 vs 2023": None, "2024 vs 20234": None, "": None}
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    newest = F.lit("2024-05-20").cast("date")
+    got = {r["t"]: r["p"] and tuple(map(str, r["p"])) for r in df.select("t", period_ranges(F.col("t"), newest).alias("p")).collect()}
+    assert got == {**texts, None: None}
+
+
+def test_compared_periods_are_summed_once(spark, plan):
+    rows = [(dt.datetime(2024, m, 15), 10 ** i) for i, m in enumerate([1, 6, 7, 12])] + [(dt.datetime(2023, 12, 31), 7), (None, 9)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, v long")
+    asked = [(i, q) for i, q in enumerate(["2024 vs 2023", "last 6 months vs prior 6 months", "2024 vs 2023", "2022 vs 2021", "none", None])]
+    out = analytics.compare_periods(spark.createDataFrame(asked, "question_id int, user_query string"), df, "t", F.col("v"))
+    got = {r["question_id"]: (r["value_a"], r["value_b"], r["difference"], r["percent"]) for r in out.collect()}
+    assert got == {0: (1111, 7, 1104, 15771.43), 1: (1100, 11, 1089, 9900.0), 2: (1111, 7, 1104, 15771.43), 3: (0, 0, 0, None)}
+    assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
+
+
 def test_rolling_spans(spark):
     rows = [(dt.datetime(2024, m, 15), 10 ** i) for i, m in enumerate([1, 6, 7, 12])] + [(dt.datetime(2023, 12, 31), 7)]
     df = spark.createDataFrame(rows, "t timestamp_ntz, v long")

@@ -1,9 +1,13 @@
 import hashlib
 import math
+import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.operators import chunking
 
@@ -118,3 +122,56 @@ def test_chunking_neither_shuffles_nor_leaves_the_jvm(spark, small_dir, plan):
         text = plan(chunking.chunk_table(df, "source", "text", boundary=boundary_rule))
         assert "Exchange" not in text and "Python" not in text and "InArrow" not in text
         assert "ReadSchema: struct<text:string,source:string>" in text
+
+
+def pieces(text, size):
+    out = []
+    for paragraph in re.findall(r"(?s).+?(?:\n{2,}|\Z)", text):
+        for line in [paragraph] if len(paragraph) <= size else re.findall(r"[^\n]*\n+|[^\n]+", paragraph):
+            for word in [line] if len(line) <= size else re.findall(r"[^ ]* +|[^ ]+", line):
+                out += [word[i:i + size] for i in range(0, len(word), size)]
+    return out
+
+
+def packed(text, size, overlap):
+    """Straight from the rule: for each chunk the longest run of pieces, then the tail."""
+    parts, out, first = pieces(text, size), [], 0
+    while True:
+        end = first
+        while end < len(parts) and sum(map(len, parts[first:end + 1])) <= size:
+            end += 1
+        out.append("".join(parts[first:end]))
+        if end == len(parts):
+            return out
+        while (tail := sum(map(len, parts[first:end]))) > overlap or tail + len(parts[end]) > size:
+            first += 1
+
+
+def test_chunks_of_whole_pieces(spark):
+    rnd = random.Random(2)
+    made = ["".join(rnd.choices(["word", "é漢", " ", "  ", "\n", "\n\n", "\n\n\n", "x" * 25, ". "], k=rnd.randrange(0, 90))) for _ in range(150)]
+    made += ["", " ", "\n", "\n\n", "a" * 100, "one two\n\nthree", "p " * 40 + "\n\n" + "q " * 3]
+    for size, overlap in ((20, 5), (40, 0), (60, 20)):
+        got = run(spark, made, chunking.chunk_pieces, size=size, overlap=overlap)
+        for text, chunks in zip(made, got):
+            assert chunks == packed(text, size, overlap), (text, size, overlap)
+            assert all(len(c) <= size for c in chunks)
+
+
+def test_pieces_of_a_long_text_take_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "some words here. " * 60 + "\n")], "id int, line string").select(
+            "id", F.repeat("line", n).alias("text"))
+        start = time.perf_counter()
+        assert chunking.chunk_pieces(df, "id", "text").count() > n
+        return time.perf_counter() - start
+
+    seconds(20)
+    short, long = min(seconds(200) for _ in range(2)), seconds(2000)
+    assert long < 10 * short + 8
+
+
+def test_null_text_has_no_chunks_and_keys_go_along(spark):
+    df = spark.createDataFrame([("a", None), ("b", ""), ("c", "one\n\ntwo")], "path string, text string")
+    rows = chunking.chunk_table(df, "path", "text", pieces=True).collect()
+    assert {(r["source"], r["chunk_index"], r["text_content"]) for r in rows} == {("b", 0, ""), ("c", 0, "one\n\ntwo")}
