@@ -57,13 +57,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, text): the documents, and each conversation with its turns as paragraphs."""
+def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): each conversation with its turns as paragraphs."""
     turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
-    talks = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select(
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select(
         F.concat(F.lit("conversation/"), F.col("conv_id").cast("string")).alias("path"),
         F.array_join(F.transform("turns", lambda t: t["text"]), "\n\n").alias("text"))
-    return documents(spark, sf_dir).select("path", "text").unionByName(talks)
+
+
+def with_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("path", "text").unionByName(conversation_texts(spark, sf_dir))
 
 
 def _revised(docs: DataFrame, labels: DataFrame) -> DataFrame:

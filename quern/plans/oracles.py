@@ -262,6 +262,21 @@ _WORDS = _finer("regexp_extract_all(l, '[^ ]* +|[^ ]+')", "w", "regexp_extract_a
 _LINES = _finer("regexp_extract_all(p, '[^\\n]*\\n+|[^\\n]+')", "l", _WORDS)
 PIECES = _finer("regexp_extract_all(text, '(?s).+?(?:\\n{2,}|\\z)')", "p", _LINES)
 
+TALKS = """talks AS (
+    SELECT 'conversation/' || conv_id AS path, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
+
+# `c`: where each piece ends; a chunk goes from piece f to before piece e
+WHOLE_PIECES = f"""cut AS (SELECT path, text, {PIECES} AS pieces FROM texts),
+    ends AS (SELECT path, text, list_prepend(0::BIGINT, list_transform(range(1, len(pieces) + 1),
+                 lambda i: list_sum(list_transform(pieces[1:i], lambda x: length(x)))::BIGINT)) AS c FROM cut),
+    steps AS (
+        SELECT path, 0::BIGINT AS i, 0::BIGINT AS f, (len(list_filter(c, lambda x: x <= 1000)) - 1)::BIGINT AS e FROM ends
+        UNION ALL
+        SELECT path, i + 1, s, (len(list_filter(c, lambda x: x <= c[s + 1] + 1000)) - 1)::BIGINT FROM (
+            SELECT steps.path, i, c, len(list_filter(c, lambda x: x < greatest(c[e + 1] - 100, c[e + 2] - 1000)))::BIGINT AS s
+            FROM steps JOIN ends USING (path) WHERE e < len(c) - 1)),
+    whole AS (SELECT path, i, substr(text, c[f + 1] + 1, c[e + 1] - c[f + 1]) AS text_content FROM steps JOIN ends USING (path))"""
+
 STREAMED = f"WITH {DOCS}, {ARRIVALS}, {CHUNKS}, {ARRIVED}, {UPSERTED}"
 
 _SIDE = f"(?:q[1-4] |(?:{'|'.join(MONTHS)}) )?[0-9]{{4}}"
@@ -289,6 +304,16 @@ def _months(n: str, unit: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "file_scan": f"""
+        WITH {TALKS}
+        SELECT 'item-' || item_id AS name, 'txt' AS kind, text || chr(10) AS text, CAST(NULL AS VARCHAR) AS error FROM benchmark
+        UNION ALL SELECT replace(path, '/', '-'), 'txt', text || chr(10), NULL FROM talks
+        UNION ALL SELECT 'page-' || page_id, 'json', html, NULL FROM pages""",
+    "ingest_folder": f"""
+        WITH RECURSIVE {TALKS}, texts AS (
+            SELECT 'item-' || item_id AS path, text || chr(10) AS text FROM benchmark
+            UNION ALL SELECT replace(path, '/', '-'), text || chr(10) FROM talks), {WHOLE_PIECES}
+        SELECT path AS name, CAST(i AS INTEGER) AS chunk_index, text_content FROM whole""",
     "raw_to_text": f"SELECT page_id, {PLAIN} AS plain FROM pages",
     "table_scan": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 25",
     "csv_scan": "SELECT doc_id, text, lang, n_chars FROM documents",
@@ -307,23 +332,10 @@ ORACLES: dict[str, str] = {
             SELECT path, text, i + 1, pos + cut - 100, CAST({_cut('(pos + cut - 100)')} AS BIGINT)
             FROM steps WHERE pos + 999 < length(text))
         SELECT path, i AS chunk_index, substr(text, pos, cut) AS text_content FROM steps""",
-    # `c`: where each piece ends; a chunk goes from piece f to before piece e
     "chunk_pieces": f"""
-        WITH RECURSIVE {DOCS}, texts AS (
-            SELECT path, text FROM docs UNION ALL
-            SELECT 'conversation/' || conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id),
-        cut AS (SELECT path, text, {PIECES} AS pieces FROM texts),
-        ends AS (SELECT path, text, list_prepend(0::BIGINT, list_transform(range(1, len(pieces) + 1),
-                     lambda i: list_sum(list_transform(pieces[1:i], lambda x: length(x)))::BIGINT)) AS c FROM cut),
-        steps AS (
-            SELECT path, 0::BIGINT AS i, 0::BIGINT AS f, (len(list_filter(c, lambda x: x <= 1000)) - 1)::BIGINT AS e FROM ends
-            UNION ALL
-            SELECT path, i + 1, s, (len(list_filter(c, lambda x: x <= c[s + 1] + 1000)) - 1)::BIGINT FROM (
-                SELECT steps.path, i, c, len(list_filter(c, lambda x: x < greatest(c[e + 1] - 100, c[e + 2] - 1000)))::BIGINT AS s
-                FROM steps JOIN ends USING (path) WHERE e < len(c) - 1))
-        SELECT md5(path) || '_' || i AS chunk_id, path AS source, md5(path) AS doc_hash, CAST(i AS INTEGER) AS chunk_index,
-               substr(text, c[f + 1] + 1, c[e + 1] - c[f + 1]) AS text_content
-        FROM steps JOIN ends USING (path)""",
+        WITH RECURSIVE {DOCS}, {TALKS}, texts AS (SELECT path, text FROM docs UNION ALL SELECT * FROM talks), {WHOLE_PIECES}
+        SELECT md5(path) || '_' || i AS chunk_id, path AS source, md5(path) AS doc_hash, CAST(i AS INTEGER) AS chunk_index, text_content
+        FROM whole""",
     "chunk_id": f"WITH {DOCS}, {CHUNKS} SELECT source AS path, doc_hash, chunk_index, chunk_id FROM chunks",
     "chunk_multipart": """
         WITH parts AS (

@@ -23,6 +23,7 @@ from quern.operators import (
     upsert,
 )
 from quern.plans import answer_flow as flow
+from quern.plans import ingest
 from quern.plans import inputs as given
 from quern.plans.inputs import read
 from quern.session import apply_settings, new_folder, written
@@ -62,11 +63,37 @@ def _arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- sources and sinks -------------------------------------------------------
 
+def _as_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files: items of the benchmark and conversations as texts, pages as JSON."""
+    folder = new_folder(spark, "files")
+    items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("item-"), "item_id").alias("name"), "text")
+    talks = given.conversation_texts(spark, sf_dir).select(F.replace("path", F.lit("/"), F.lit("-")).alias("name"), "text")
+    items.unionByName(talks).repartition("name").write.partitionBy("name").text(folder)
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id").alias("name"), "html")
+    pages.repartition("name").write.mode("append").partitionBy("name").json(folder)
+    return folder
+
+
 @query
 def file_scan(spark, sf_dir):
-    """The files of the given tables, be a table one file or a folder; no body is read."""
-    found = files.file_scan(spark, f"{sf_dir}/*.parquet*", [".PARQUET"])
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    """Files written from given rows, scanned and read by their extension."""
+    found = files.file_texts(files.file_scan(spark, f"{_as_files(spark, sf_dir)}/*", [".TXT", ".json"]))
+    kind = files.extension(F.col("path"))
+    text = F.when(kind == "json", F.get_json_object("text", "$.html")).otherwise(F.col("text"))
+    return found.select(F.regexp_extract("path", "/name=([^/]+)/", 1).alias("name"), kind.alias("kind"), text.alias("text"), "error")
+
+
+@query
+def ingest_folder(spark, sf_dir):
+    """The same texts as chunks of a stored table, after two runs of which one finds nothing new."""
+    folder = _as_files(spark, sf_dir)
+    chunks = StoredTable.create(spark, new_folder(spark, "chunk-table"), fixed.CHUNK_SCHEMA, "chunk_id")
+    seen = StoredTable.create(spark, new_folder(spark, "seen"), ingest.SEEN_SCHEMA, "path")
+    log = "quern_file_errors_" + new_folder(spark, "x").rsplit("-", 1)[1]
+    for _ in range(2):
+        ingest.ingest_folder(spark, f"{folder}/*", [".txt"], chunks, seen, log)
+    name = F.regexp_extract("source", "/name=([^/]+)/", 1).alias("name")
+    return chunks.read().select(name, "chunk_index", "text_content")
 
 
 @query

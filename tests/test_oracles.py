@@ -1,12 +1,9 @@
 """Every query against its SQL twin."""
 
-import os
-
 import pytest
 from oracle_check import connect, differences
 
 import __spark_entry__ as entry
-from quern.plans.inputs import TABLES
 from quern.plans.oracles import ORACLES
 from quern.plans.queries import QUERIES
 
@@ -22,9 +19,8 @@ def test_entry_registers_all():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-def test_only_listing_files_has_no_twin():
-    assert set(QUERIES) - set(ORACLES) == {"file_scan"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_a_twin():
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -38,9 +34,3 @@ def test_entry_has_rows_and_a_stable_schema(spark):
     df = entry.entry(spark)
     assert df.columns == ["question_id", "engineered_context", "final_response"]
     assert df.count() > 0
-
-
-def test_file_scan_lists_all_tables(spark, small_dir):
-    rows = QUERIES["file_scan"](spark, small_dir).collect()
-    sizes = {f"{t}.parquet": os.path.getsize(f"{small_dir}/{t}.parquet") for t in TABLES}
-    assert {r["file_name"]: r["length"] for r in rows} == sizes
