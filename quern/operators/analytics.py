@@ -17,10 +17,10 @@ def filter_project(df: DataFrame, where: Column, cols: Sequence[str | Column]) -
 
 
 def join_on(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot_left: bool = False
 ) -> DataFrame:
-    """Equi-join whose left side may be dominated by a few keys."""
-    return spread_join(left, right, keys, how)
+    """Equi-join; `hot_left` for a right or full one whose left side a few keys dominate."""
+    return spread_join(left, right, keys, how, hot_left)
 
 
 def agg_basic(df: DataFrame, by: Sequence[str | Column], measures: Mapping[str, Column]) -> DataFrame:
@@ -151,11 +151,9 @@ def drill_down(df: DataFrame, targets: Sequence[str] | DataFrame, cols: Sequence
             wanted = wanted | F.col(c).isin(list(targets))
         return df.where(wanted)
     values = targets.select("target").where("target is not null").distinct()
-    found = None
-    rest = df
-    for c in cols:
-        side = values.withColumnRenamed("target", c)
-        hit = spread_join(rest, side, [c], "left_semi").select(*df.columns)
-        rest = spread_join(rest, side, [c], "left_anti").select(*df.columns)
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    marked, wanted = df, F.lit(False)
+    for i, c in enumerate(cols):
+        side = values.select(F.col("target").alias(f"_target{i}"))
+        marked = marked.join(side, F.col(f"`{c}`") == F.col(f"_target{i}"), "left")
+        wanted = wanted | F.col(f"_target{i}").isNotNull()
+    return marked.where(wanted).select(*df.columns)

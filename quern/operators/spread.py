@@ -16,18 +16,21 @@ from pyspark.sql import functions as F
 LEVEL_BITS = 21
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, hot_left: bool = False
+) -> DataFrame:
     """Equi-join whose left side may be dominated by a few keys, or by null keys.
 
     Inner, left, left_semi and left_anti joins are plain ones: the adaptive skew join
     cuts the left side's large partitions, those of null keys too. It cannot do so for
-    right and full joins, as every cut would find the same right rows unmatched; these
-    are the inner or left join and, apart, the right rows whose key the left side lacks.
-    Columns and types are those of the plain join.
+    right and full joins, as every cut would find the same right rows unmatched. For
+    these say `hot_left` where a left key may own much of the data: they become the inner
+    or left join and, apart, the right rows whose key the left side lacks, which reads
+    both sides twice. Columns, types and rows are those of the plain join.
     """
     keys = list(keys)
     plain = left.join(right, keys, how)
-    if how not in ("right", "full"):
+    if how not in ("right", "full") or not hot_left:
         return plain
     matched = left.join(right, keys, "inner" if how == "right" else "left")
     only_right = right.join(left.select(*keys).distinct(), keys, "left_anti")

@@ -395,6 +395,10 @@ ORACLES: dict[str, str] = {
         WITH {QUESTIONS}, {ANSWERED}, {CACHE}
         SELECT q.question_id, q.session_id, md5(q.user_query) AS query_hash, c.final_response AS cached_response
         FROM questions q LEFT JOIN cache c ON c.query_hash = md5(q.user_query)""",
+    "cache_lookup_bucketed": f"""
+        WITH {QUESTIONS}, {ANSWERED}, {CACHE}
+        SELECT q.question_id, q.session_id, md5(q.user_query) AS query_hash, c.final_response AS cached_response
+        FROM questions q LEFT JOIN cache c ON c.query_hash = md5(q.user_query)""",
     "cache_split": f"""
         WITH {QUESTIONS}, {ANSWERED}, {CACHE}
         SELECT q.question_id, CASE WHEN c.query_hash IS NULL THEN 'miss' ELSE 'hit' END AS side
@@ -402,6 +406,9 @@ ORACLES: dict[str, str] = {
     "schema_inventory": _inventory_sql(),
     "schema_context": _context_sql(),
     "table_profile": _profile_sql(),
+    "sketch_profile": "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, true AS close FROM {t}"
+        for t, _, c, _ in _column_rows()),
     "column_names": """
         WITH texts AS (SELECT 'p' || page_id AS text_id, html AS t FROM pages UNION ALL SELECT 'd' || doc_id, text FROM documents)
         SELECT DISTINCT text_id, unnest(regexp_extract_all(t, '(\\w+)\\s*\\(\\w+\\)', 1)) AS column_name FROM texts""",
@@ -570,10 +577,10 @@ ORACLES: dict[str, str] = {
         FROM events LEFT JOIN last ON conv_id = user_id""",
     "history_text": f"""
         SELECT CAST(conv_id AS VARCHAR) AS session_id,
-               {HISTORY} || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history
+               {HISTORY} || string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history
         FROM conversations GROUP BY conv_id""",
     "context_block": f"""
-        WITH h AS (SELECT conv_id, {HISTORY} || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY 1),
+        WITH h AS (SELECT conv_id, {HISTORY} || string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM conversations GROUP BY 1),
         t AS (SELECT doc_id, text AS docs FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
         n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2),
         r AS (SELECT user_id, string_agg(CAST(json_object('event_type', event_type, 'n', n) AS VARCHAR), chr(10) ORDER BY event_type) AS result FROM n GROUP BY 1),

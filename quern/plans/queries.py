@@ -301,6 +301,14 @@ def cache_lookup(spark, sf_dir):
     return _looked_up(spark, sf_dir).select("question_id", "session_id", "query_hash", "cached_response")
 
 
+@query
+def cache_lookup_bucketed(spark, sf_dir):
+    """The same against a stored cache that is dealt by the hash of the question."""
+    stored = cache.store_cache(_cache(spark, sf_dir), "quern_cache_" + new_folder(spark, "x").rsplit("-", 1)[1])
+    asked = cache.with_query_hash(given.questions(spark, sf_dir))
+    return cache.cache_lookup(asked, stored).select("question_id", "session_id", "query_hash", "cached_response")
+
+
 @query
 def cache_split(spark, sf_dir):
     hits, misses = cache.cache_split(_looked_up(spark, sf_dir))
@@ -337,12 +345,23 @@ def schema_context(spark, sf_dir):
 
 @query
 def table_profile(spark, sf_dir):
-    return _each(given.discover(spark, sf_dir), catalog.table_profile).select(
+    return catalog.profiles(given.discover(spark, sf_dir)).select(
         "table_name", F.col("ordinal").cast("int").alias("ordinal"), "column_name",
         "n_rows", "n_nulls", "n_distinct", "min_value", "max_value",
     )
 
 
+@query
+def sketch_profile(spark, sf_dir):
+    """Which columns' distinct counts by sketch are within five standard errors of the exact ones."""
+    frames = given.discover(spark, sf_dir)
+    about = _each(frames, catalog.sketch_profile)
+    exact = catalog.profiles(frames).select("table_name", "column_name", "n_distinct")
+    off = F.abs(F.col("about_distinct") - F.col("n_distinct"))
+    return about.join(exact, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "n_rows", "n_nulls", (off <= 0.065 * F.col("n_distinct") + 1).alias("close"))
+
+
 @query
 def column_names(spark, sf_dir):
     """Names found in the markup of pages and the texts of documents."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +35,10 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`.
-
-    Unset is accepted on a local master only, where one machine holds
-    everything; on a cluster it is an error.
-    """
+    """The folder all executors see: `spark.checkpoint.dir`, or where that is unset a
+    folder of the warehouse, which is shared as well."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    base = tempfile.mkdtemp(prefix="quern-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return base or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "quern-work")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

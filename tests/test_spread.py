@@ -20,9 +20,12 @@ def sides(spark):
 
 
 def same(left, right, keys, how):
-    spread_out, plain = spread.spread_join(left, right, keys, how), left.join(right, keys, how)
-    assert spread_out.dtypes == plain.dtypes
-    assert sorted(map(str, spread_out.collect())) == sorted(map(str, plain.collect()))
+    plain = left.join(right, keys, how)
+    rows = sorted(map(str, plain.collect()))
+    for hot in (False, True):
+        spread_out = spread.spread_join(left, right, keys, how, hot_left=hot)
+        assert spread_out.dtypes == plain.dtypes
+        assert sorted(map(str, spread_out.collect())) == rows
 
 
 @pytest.mark.parametrize("how", KINDS)
@@ -54,7 +57,7 @@ def test_no_job_while_the_plan_is_built(spark, sides):
     spark.sparkContext.setJobGroup("building", "")
     try:
         for how in KINDS:
-            spread.spread_join(*sides, ["k"], how)
+            spread.spread_join(*sides, ["k"], how, hot_left=True)
         spread.running_offset(sides[0], ["k"], "row", "row", "o")
         assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
     finally:

@@ -25,6 +25,14 @@ def test_history_is_one_row_per_session(spark, block_turns):
     assert fixed.HISTORY_HEADING + "\n".join(r["line"] for r in lines) == got["s"]
 
 
+def test_turns_with_gaps_are_not_lost(spark):
+    rows = [("s", 0, "user", "a"), ("s", 1, None, "b"), ("s", 2, "user", None), ("s", 3, None, None)]
+    turns = spark.createDataFrame(rows, "session_id string, turn long, role string, text string")
+    text = conversation.history_text(turns, 2).first()["history"]
+    assert text == fixed.HISTORY_HEADING + "user: a\n: b\nuser: \n: "
+    assert sorted(r["line"] for r in conversation.history_lines(turns).collect()) == [": ", ": b", "user: ", "user: a"]
+
+
 def test_history_append(spark):
     schema = "session_id string, turn long, role string, text string"
     old = spark.createDataFrame([("s", 0, "user", "a"), ("s", 1, "assistant", "b")], schema)

@@ -92,3 +92,20 @@ def test_lookup_filter_reaches_the_files(spark, plan, tmp_path):
     stored = spark.read.parquet(path)
     text = plan(stored.where("query_hash = 'h'").select("final_response"))
     assert "EqualTo(query_hash,h)" in text and "ReadSchema: struct<query_hash:string,final_response:string>" in text
+
+
+def test_a_bucketed_cache_stays_where_it_is(spark, plan):
+    rows = [(hashlib.md5(f"q{i}".encode()).hexdigest(), f"q{i}", f"a{i}", "s", None) for i in range(50)]
+    made = spark.createDataFrame(rows, "query_hash string, user_query string, final_response string, session_id string, timestamp timestamp")
+    stored = cache.store_cache(made, "bucketed_cache_of_test", 4)
+    asked = cache.with_query_hash(spark.createDataFrame([("q3",), ("q7",), ("none",), ("q3",)], "user_query string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = cache.cache_lookup(asked, stored)
+        text = plan(found)
+        assert sorted(str((r["user_query"], r["cached_response"])) for r in found.collect()) == [
+            "('none', None)", "('q3', 'a3')", "('q3', 'a3')", "('q7', 'a7')"]
+        assert text.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 4 out of 4" in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
