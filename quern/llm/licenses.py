@@ -6,7 +6,10 @@ of the class: wherever a template lies, some window holds it whole. If a share o
 `similarity` of a template's shingles is there, the window's set and the template's
 have at least the Jaccard similarity that `least_jaccard` states, and the number of
 bands is the smallest that lets such a window pass unseen with a probability of
-`MISS` or less. What a band retrieves is compared shingle by shingle.
+`MISS` or less. A table from (band, value) to templates holds the signatures of all
+templates of a class: a window looks its own values up and so retrieves the templates
+that agree with it in some band, whatever their number. What is retrieved is compared
+shingle by shingle.
 
 Words are runs of letters, digits and underscores, lower-cased; shingles have five
 words, or all words of a shorter template.
@@ -19,7 +22,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,10 @@ MISS = 1e-4
 #: Rows of a band. Unrelated texts hardly share a five-word shingle, so one is enough.
 BAND_ROWS = 1
 MIN_STRIDE = 4
-#: Templates sent to the tasks: characters in all.
+#: Characters of templates sent to the tasks at once; more take a pass over the documents each.
 MAX_CHARS = 16_000_000
+#: Remainders of values by which most look-ups end before the table.
+_REMAINDERS = 1 << 16
 _SLICE = 1 << 16
 _KEPT_WORDS = 200_000
 _find = re.compile(r"\w+").findall
@@ -113,7 +118,29 @@ class _Class:
     factor: np.ndarray
     shift: np.ndarray
     rows: int
-    signs: np.ndarray  # templates × bands
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # (band, value), rising
+    template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each key
+    marks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), bool))  # bands × remainders that occur
+
+    def store(self, signs: np.ndarray) -> None:
+        """`signs`: templates × bands."""
+        n, bands = signs.shape
+        values = signs.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        keys = (np.arange(bands, dtype=np.uint64) << np.uint64(32) | values).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.template = keys[order], np.repeat(np.array(self.numbers), bands)[order]
+        self.marks = np.zeros((bands, _REMAINDERS), bool)
+        self.marks[np.arange(bands), (values % np.uint64(_REMAINDERS)).astype(np.int64)] = True
+
+    def retrieved(self, seen: np.ndarray) -> np.ndarray:
+        """(template, window) pairs, rising, that agree in a band; `seen`: bands × windows."""
+        small = (seen & seen.dtype.type(_REMAINDERS - 1)).astype(np.uint16)
+        band, window = np.nonzero(np.take_along_axis(self.marks, small, axis=1))
+        keys = band.astype(np.uint64) << np.uint64(32) | (seen[band, window].astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.unique(np.stack([self.template[at], np.repeat(window, n)], axis=1), axis=0)
 
     def _banded(self, least: np.ndarray) -> np.ndarray:
         """bands × windows from (bands · rows) × windows minima."""
@@ -148,8 +175,6 @@ class Scanner:
     """Finds the templates (texts) in texts."""
 
     def __init__(self, templates: Sequence[str], similarity: float = SIMILARITY, rows: int = BAND_ROWS, seed: int = 7):
-        if sum(map(len, templates)) > MAX_CHARS:
-            raise ValueError(f"templates of over {MAX_CHARS} characters cannot be sent to every task")
         self.similarity, self.codes = similarity, _Codes()
         self.words = [words_of(t) for t in templates]
         self.sizes = [min(WORDS, len(w)) for w in self.words]
@@ -166,9 +191,9 @@ class Scanner:
             bands = max(bands_for(least_jaccard(len(self.sets[i]), 3 * stride, similarity), rows) for i in numbers)
             factor = random.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
             shift = random.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-            one = _Class(size, stride, numbers, factor, shift, rows, np.zeros((0, bands)))
+            one = _Class(size, stride, numbers, factor, shift, rows)
             least = [(self._hash(self.words[i], size) * factor[:, None] + shift[:, None]).min(axis=1)[:, None] for i in numbers]
-            one.signs = np.array([one._banded(x)[:, 0] for x in least])
+            one.store(np.array([one._banded(x)[:, 0] for x in least]))
             self.classes.append(one)
 
     def _hash(self, words: Sequence[str], size: int) -> np.ndarray:
@@ -185,9 +210,9 @@ class Scanner:
         for c in self.classes:
             if not len(hashed[c.size]):
                 continue
-            seen = c.windows(hashed[c.size])
-            for number, signs in zip(c.numbers, c.signs):
-                hits = np.flatnonzero((seen == signs[:, None]).any(axis=0))
+            pairs = c.retrieved(c.windows(hashed[c.size]))
+            for number in np.unique(pairs[:, 0]).tolist():
+                hits = pairs[pairs[:, 0] == number, 1]
                 found += self.verified(words, number, c.size, 3 * c.stride, (hits * c.stride).tolist())
         return sorted(found)
 
@@ -233,14 +258,26 @@ def license_scan(
     """(doc_id, template, first_word, end_word, containment) of each notice found.
 
     Null or wordless texts and templates match nothing. Rows that repeat are answered
-    each time; null ids stay null. No documents or no templates give no rows.
+    each time; null ids stay null. No documents or no templates give no rows. Templates
+    of more than `MAX_CHARS` characters take a pass over the documents for each such part.
     """
     prepared(docs.sparkSession)
-    names = F.array(*(F.lit(n) for n, _ in templates)) if templates else F.array(F.lit(None).cast("string"))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.explode(notices(F.col(text_col), [t for _, t in templates], similarity)).alias("f"),
-    ).select("doc_id", names[F.col("f.template")].alias("template"), "f.first_word", "f.end_word", "f.containment")
+    parts: list[list[tuple[str, str]]] = [[]]
+    size = 0
+    for name, text in templates:
+        if parts[-1] and size + len(text or "") > MAX_CHARS:
+            parts.append([])
+            size = 0
+        parts[-1].append((name, text))
+        size += len(text or "")
+    found = None
+    for part in parts:
+        names = F.array(*(F.lit(n) for n, _ in part)) if part else F.array(F.lit(None).cast("string"))
+        one = docs.select(
+            F.col(id_col).alias("doc_id"), F.explode(notices(F.col(text_col), [t for _, t in part], similarity)).alias("f"),
+        ).select("doc_id", names[F.col("f.template")].alias("template"), "f.first_word", "f.end_word", "f.containment")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Allow and block lists for addresses, as a trie over host labels and path segments.
 
 The rules go from the last host label to the first, then along the path. The trie of
-a stated list of rules is small; `MAX_RULES` bounds what is sent to the tasks.
+`MAX_RULES` rules is what is sent to the tasks at once; a longer list takes a pass over
+the pages for each such part of it, and the longest match of all parts decides.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import prepared, table
+from quern.llm.common import Saved, prepared, table
 
 #: Rules that may be broadcast: at about 300 bytes each, 30 MB per worker.
 MAX_RULES = 100_000
@@ -44,8 +45,6 @@ class Trie:
     """Rules (verdict, `host/path`). Of equal rules, a block goes before an allow."""
 
     def __init__(self, rules: Sequence[tuple[str, str]]):
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can be sent to every task")
         self.root = _Node()
         for verdict, rule in sorted(set(rules), key=lambda r: (r[0] != "block", r[1])):
             if verdict not in ("allow", "block"):
@@ -101,8 +100,11 @@ def parts(url: str | None) -> tuple[str, str]:
 def judged(url: Column, rules: Sequence[tuple[str, str]], default: str = "allow") -> Column:
     """struct(host, path, rule, verdict) of an address; `default` where no rule fits.
 
-    A null address, or one without `://`, has empty parts, no rule and the default.
+    A null address, or one without `://`, has empty parts, no rule and the default. The
+    rules are sent to every task; `judged_pages` takes lists of any length.
     """
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"{len(rules)} rules are too many for one pass; see judged_pages")
     trie = Trie(rules)
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
@@ -117,12 +119,44 @@ def judged(url: Column, rules: Sequence[tuple[str, str]], default: str = "allow"
     return judge(url.cast("string"))
 
 
+def judged_pages(
+    pages: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "url", default: str = "allow", out: str = "judged"
+) -> DataFrame:
+    """`pages` with `out`, the struct of `judged`. Rules beyond `MAX_RULES` are judged part
+    after part, each pass being written before the next; of the parts' matches the one
+    with most host labels counts, then that with the longest path, then a block."""
+    prepared(pages.sparkSession)
+    ordered = sorted(rules, key=lambda r: r[1].translate(_LOWER))
+    blocks = [ordered[i:i + MAX_RULES] for i in range(0, len(ordered), MAX_RULES)] or [[]]
+    done = pages.withColumn(out, judged(F.col(url_col), blocks[0], default))
+    rule = f"{out}.rule"
+
+    def weight(name: str) -> Column:
+        host, path = F.substring_index(name, "/", 1), F.length(name) - F.length(F.substring_index(name, "/", 1))
+        labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+        verdict = F.col(name.replace(".rule", ".verdict")) == "block"
+        return F.when(F.col(name).isNotNull(), F.struct(labels, path, verdict))
+
+    for block in blocks[1:]:
+        step = Saved(done, "judged").df
+        both = step.withColumn("_quern_next", judged(F.col(url_col), block, default))
+        better = F.col(rule).isNull() | (weight("_quern_next.rule") > weight(rule))
+        done = both.withColumn(out, F.when(
+            F.col("_quern_next.rule").isNotNull() & better, F.col("_quern_next")).otherwise(F.col(out))).drop("_quern_next")
+    return done
+
+
 def filter_urls(
     pages: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "url", default: str = "allow"
 ) -> DataFrame:
-    """`pages` whose address is allowed, all columns as they are."""
+    """`pages` whose address is allowed, all columns as they are.
+
+    A null address, one without `://` and one that no rule fits get the default. Repeated
+    pages are each kept or not; no pages give no rows; no rules leave the default to all.
+    """
     prepared(pages.sparkSession)
-    return pages.where(judged(F.col(url_col), rules, default)["verdict"] == "allow")
+    found = judged_pages(pages, rules, url_col, default, "_quern_judged")
+    return found.where("_quern_judged.verdict = 'allow'").drop("_quern_judged")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,17 @@ def test_longest_rule_decides(frame):
     assert url_filter.filter_urls(pages, [], default="block").count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_rules_in_parts_decide_as_all_at_once(frame, monkeypatch, at_once):
+    monkeypatch.setattr(url_filter, "MAX_RULES", at_once)
+    hosts, paths = ["a.com", "b.a.com", "org", "u.org", "shop.example.net"], ["", "/", "/x", "/x/", "/x/y", "/x/yz/"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "none"]
+    pages = frame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, judged string")
+    found = url_filter.judged_pages(pages, RULES, out="j").select("page_id", "j.*").collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in found} == {i: plain_verdict(u) for i, u in enumerate(urls)}
+    assert url_filter.filter_urls(pages, RULES).columns == pages.columns
+
+
 VECTORS = "vec_id long, embedding array<float>, rank string"
 
 

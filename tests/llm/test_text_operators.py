@@ -172,6 +172,32 @@ def test_notices_equal_every_window_compared(frame):
     assert licenses.license_scan(frame(rows, DOCS), []).count() == 0
 
 
+def test_notices_at_any_place_and_among_many_templates(frame, monkeypatch):
+    """Containment over all positions of a text, not over the operator's own windows."""
+    rnd = random.Random(12)
+    templates = [" ".join(rnd.choices(WORDS, k=rnd.randrange(4, 90))) for _ in range(400)] + [t for _, t in licenses.TEMPLATES]
+    scanner = licenses.Scanner(templates)
+    for _ in range(60):
+        n = rnd.randrange(len(templates))
+        notice, words = licenses.words_of(templates[n]), rnd.choices(WORDS, k=rnd.randrange(0, 200))
+        if len(notice) > 30:
+            notice[rnd.randrange(len(notice))] = "changed"
+        at = rnd.randrange(len(words) + 1)
+        words = words[:at] + notice + words[at:]
+        got = {(i, first, end) for i, first, end, _ in scanner(" ".join(words))}
+        assert any(i == n and first <= at + 5 and end >= at + len(notice) - 5 for i, first, end in got)
+        for i, first, end in got:
+            size = scanner.sizes[i]
+            inside = set(licenses.shingles(words[first:end], size)) & scanner.sets[i]
+            assert len(inside) >= 0.8 * len(scanner.sets[i])
+    rows = [doc(1, f"Text. {templates[0]} End."), doc(2, templates[401] + " " + templates[7])]
+    named = [(str(i), t) for i, t in enumerate(templates)]
+    whole = sorted(map(tuple, licenses.license_scan(frame(rows, DOCS), named).collect()))
+    monkeypatch.setattr(licenses, "MAX_CHARS", 20_000)
+    assert sorted(map(tuple, licenses.license_scan(frame(rows, DOCS), named).collect())) == whole
+    assert {(r[0], r[1]) for r in whole} >= {(1, "0"), (2, "401"), (2, "7")}
+
+
 def test_bands_reach_the_promised_chance():
     for n, window in ((1, 12), (4, 12), (30, 60)):
         j = licenses.least_jaccard(n, window, 0.8)
