@@ -186,7 +186,11 @@ def without_leaks(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """`docs` without those that hold a passage of any item. Of a benchmark of several
-    blocks, what each leaves is written before the next."""
+    blocks, what each leaves is written before the next.
+
+    Null and empty texts hold nothing and stay, null and empty items are nowhere; an empty
+    benchmark leaves all. Rows that repeat are each judged, columns stay as they are.
+    """
     prepared(docs.sparkSession)
     before = None
     for n, block in enumerate(_blocks(_numbered(benchmark, item_col, item_text_col))):

@@ -5,7 +5,8 @@ and lines, the page view its language, source and stated length. Round by round
 is fitted on the labelled documents and on pseudo-labels that the other view was
 confident of for unlabelled ones. How sure a view may be is read from labelled
 documents kept aside (Platt scaling), so a view that knows little hands over nothing.
-A last model on the kept documents weighs the two calibrated views for the score.
+A last model, on further documents kept aside, weighs the two calibrated views for the
+score.
 """
 
 from __future__ import annotations
@@ -157,24 +158,26 @@ def co_train(
     values: np.ndarray, pages: pd.DataFrame, y: np.ndarray, pool_values: np.ndarray, pool_pages: pd.DataFrame,
     rounds: int = ROUNDS,
 ) -> CoTrained:
-    """Every fifth labelled row is kept aside to calibrate and to weigh the views."""
+    """Of ten labelled rows one is kept aside to calibrate the views, and another to weigh
+    the calibrated views against each other."""
     view = TextView.of(np.concatenate([values, pool_values]))
     texts, metas = view.rows(values), page_rows(pages)
     pool_texts, pool_metas = view.rows(pool_values), page_rows(pool_pages)
-    kept = np.arange(len(y)) % 5 == 0
-    own, kept_y = y[~kept], y[kept]
+    turn = np.arange(len(y)) % 10
+    kept, weighed = turn == 0, turn == 5
+    own = ~(kept | weighed)
 
     def fitted(rows: Rows, pool: Rows, given: tuple[np.ndarray, np.ndarray]) -> Calibrated:
         at, label = given
-        return _view(_joined(rows.take(~kept), pool.take(at)), np.concatenate([own, label]), rows.take(kept), kept_y)
+        return _view(_joined(rows.take(own), pool.take(at)), np.concatenate([y[own], label]), rows.take(kept), y[kept])
 
     nothing = (np.zeros(0, np.int64), np.zeros(0))
     to_text = to_page = nothing
     for _ in range(max(1, rounds)):
         text, page = fitted(texts, pool_texts, to_text), fitted(metas, pool_metas, to_page)
         to_text, to_page = _handed(page.logit(pool_metas)), _handed(text.logit(pool_texts))
-    views = np.column_stack([text.logit(texts.take(kept)), page.logit(metas.take(kept))])
-    return CoTrained(view, text, page, fit(_dense(views), kept_y, l2=1e-3, steps=300))
+    views = np.column_stack([text.logit(texts.take(weighed)), page.logit(metas.take(weighed))])
+    return CoTrained(view, text, page, fit(_dense(views), y[weighed], l2=1e-3, steps=300))
 
 
 PAGE = ("lang", "source", "n_chars")
@@ -214,7 +217,12 @@ def _scored(model: CoTrained) -> Column:
 
 
 def without_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with a score of `threshold` or more; all columns as they are."""
+    """`docs` with a score of `threshold` or more; all columns as they are.
+
+    Null texts count as empty, null page columns as a value of their own. Without labels,
+    or with labels of other documents only, all stay. Rows that repeat are each judged; no
+    documents give no rows.
+    """
     return docs.where(_scored(train(docs, labels))["score"] >= threshold)
 
 

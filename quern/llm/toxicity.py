@@ -181,7 +181,11 @@ def _judgements(labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` whose toxicity is `threshold` or less; all columns as they are."""
+    """`docs` whose toxicity is `threshold` or less; all columns as they are.
+
+    Null and wordless texts get the chain's prior. Without labels, or with labels of other
+    documents only, all stay. Rows that repeat are each judged; no documents give no rows.
+    """
     chain = train(docs, _judgements(labels), ["low_quality", "toxic"])
     return docs.where(chain.score(F.col("text"))["toxic"] <= threshold)
 

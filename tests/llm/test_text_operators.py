@@ -2,9 +2,11 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, licenses, packing, quality, simhash, toxicity
@@ -62,6 +64,32 @@ def test_near_duplicates_equal_all_pairs(spark, frame):
     assert simhash.near_duplicates(frame([], DOCS)).count() == 0
 
 
+def test_fingerprints_are_the_majority_of_the_shingles(frame):
+    """From the rule alone: words, three-word shingles, XXH64 with seed 42, more than half."""
+    def plain(text):
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall("[^\\x20\\x09-\\x0D]+", lowered)
+        shingles = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    rnd = random.Random(11)
+    texts = [None, "", " \t", "one", "One two", "a b c", "A\u00a0b c\u2003d\x1ce \x85f", "\u00c4 \u00e4 \u0130 I i", "x\x0by\x0cz w"]
+    texts += ["".join(rnd.choice(["Wort", "\u00e9\u00c9", "a", " ", "\n", "\r\t", "漢 字"]) for _ in range(rnd.randrange(80))) for _ in range(150)]
+    rows = [doc(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.fingerprint & (2**64 - 1) for r in simhash.near_duplicates(frame(rows, DOCS)).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_stage_bears_columns_of_the_names_it_uses(frame):
+    rows = some_docs()
+    named = DOCS.replace("component_id string, fp string", "shape string, _quern_text string")
+    given = frame(rows, named).withColumn("rank", F.lit(1)).withColumn("id", F.lit("x")).withColumn("hash", F.lit(2))
+    kept = simhash.without_near_duplicates(given)
+    assert kept.columns == given.columns
+    assert kept.count() == simhash.without_near_duplicates(frame(rows, DOCS)).count()
+
+
 @pytest.mark.parametrize("crowded", [2, 24])
 def test_links_connect_what_two_bits_connect(spark, frame, crowded):
     rnd = random.Random(5)
