@@ -27,11 +27,11 @@ from quern.llm.common import Saved, prepared, table
 
 TOP = 20
 #: Vectors the pivots are taken from: those with the smallest hashes of their ids.
-PIVOTS = 256
-PREFIX = 32
-#: Share of each block that is ranked exactly, and the fewest vectors.
-SHARE = 0.3
-LEAST = 1024
+PIVOTS = 512
+PREFIX = 96
+#: Share of each block that is ranked exactly, and the fewest vectors per neighbour wanted.
+SHARE = 0.25
+LEAST = 6
 BLOCK = 8192
 QUERY_BLOCK = 8192
 RECALL_EVERY = 20
@@ -79,7 +79,7 @@ def search_block(
     """(query number, id, score) of the best `top` found in a block, for each query."""
     index = PivotIndex(augmented(vectors, greatest), pivots)
     orders = index.orders(np.column_stack([queries, np.zeros(len(queries))]))
-    n = max(least, int(np.ceil(share * len(ids))), top)
+    n = max(least * top, int(np.ceil(share * len(ids))))
     number, found, scores = [], [], []
     for q, order in enumerate(orders):
         at = index.nearest(order, n)

@@ -95,7 +95,7 @@ CHAT = "conv_id long, turn long, role string, text string, part string"
 
 
 def test_recall_of_the_whole_query_where_the_share_decides(spark):
-    """Beyond 3,414 vectors a block no vector is ranked that the share leaves out."""
+    """Beyond 504 vectors a block no vector is ranked that the share leaves out."""
     rng = np.random.default_rng(10)
     vectors = rng.standard_normal((4000, 32)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
