@@ -125,7 +125,7 @@ class _Block:
         trained = np.bincount(codes[np.repeat(~held, self.sizes)], minlength=len(hashes))
         yield block, -1, self.ids, packed(np.array(self.sizes), held.astype(np.uint8), codes)
         cut = _range_shard(hashes, shards)
-        for shard in range(shards):
+        for shard in np.flatnonzero(np.diff(cut)).tolist():  # so never more rows than words
             part = slice(cut[shard], cut[shard + 1])
             yield block, shard, [], packed(hashes[part], trained[part])
 
@@ -222,25 +222,30 @@ def _merge_pairs(asked: pd.DataFrame, total: int) -> pd.DataFrame:
     asked = asked.sort_values("block")
     shard = int(asked["shard"].iloc[0])
     parts = [unpacked(p) for p in asked["payload"]]
-    blobs = [(np.repeat(v.astype(np.uint64), n), w.astype(np.uint64)) for v, n, _, w, _, _ in parts]
-    v = np.concatenate([b[0] for b in blobs])
-    w = np.concatenate([b[1] for b in blobs])
-    cv = np.concatenate([np.repeat(c.astype(np.int64), n) for _, n, c, *_ in parts])
-    cw = np.concatenate([p[4].astype(np.int64) for p in parts])
-    times = np.concatenate([p[5].astype(np.int64) for p in parts])
-    seen = times > 0
-    contexts, place_v = np.unique(v[seen], return_inverse=True)
-    words, place_w = np.unique(w[seen], return_inverse=True)
-    key = place_v.astype(np.uint64) * np.uint64(max(1, len(words))) + place_w.astype(np.uint64)
+    sizes = [len(p[3]) for p in parts]
+    contexts, place_v = np.unique(np.concatenate([np.repeat(v.astype(np.uint64), n) for v, n, *_ in parts]), return_inverse=True)
+    words, place_w = np.unique(np.concatenate([p[3].astype(np.uint64) for p in parts]), return_inverse=True)
+    key = place_v.astype(np.uint64) * np.uint64(len(words)) + place_w.astype(np.uint64)
+    del place_v, place_w
     keys, one, place = np.unique(key, return_index=True, return_inverse=True)
-    count = np.bincount(place, times[seen], len(keys))
-    of, low = cv[seen][one], (cw[seen][one] + 1) / total
-    trie = Trie(contexts, words, keys, _share_code(count, of))
-    left_out = [float((count * np.log10((count - 1 + m * low) / (of - 1 + m))).sum()) for m in PRIORS]
-    del v, w, cv, cw, times, seen, key, place, place_v, place_w, contexts, words, keys, one, count, of, low
-    reader = trie.reader()
+    del key
+    count = np.bincount(place, np.concatenate([p[5] for p in parts]), len(keys))
+    cv = np.concatenate([np.repeat(c.astype(np.int64), n) for _, n, c, *_ in parts])[one]
+    cw = np.concatenate([p[4].astype(np.int64) for p in parts])[one]
+    del one, parts
+
+    v, w = np.divmod(keys, np.uint64(len(words)))
+    seen = count > 0
+    known_v, at_v = np.unique(v[seen], return_inverse=True)
+    known_w, at_w = np.unique(w[seen], return_inverse=True)
+    stored = at_v.astype(np.uint64) * np.uint64(max(1, len(known_w))) + at_w.astype(np.uint64)
+    n, of, low = count[seen], cv[seen], (cw[seen] + 1) / total
+    trie = Trie(contexts[known_v], words[known_w], stored, _share_code(n, of))
+    left_out = [float((n * np.log10((n - 1 + m * low) / (of - 1 + m))).sum()) for m in PRIORS]
+    # however many blocks ask for a pair, it is looked up once, and in the trie's order
+    codes = trie.reader().look_up(contexts[v], words[w])
     rows = [(-1, shard, packed(np.array(left_out)))]
-    rows += [(block, shard, packed(reader.look_up(*b))) for block, b in zip(asked["block"], blobs)]
+    rows += [(block, shard, packed(codes[at])) for block, at in zip(asked["block"], np.split(place, np.cumsum(sizes)[:-1]))]
     return pd.DataFrame(rows, columns=["block", "shard", "payload"])
 
 
