@@ -40,7 +40,7 @@ BAND_ROWS = 1
 MIN_STRIDE = 4
 #: Characters of templates sent to the tasks at once; more take a pass over the documents each.
 MAX_CHARS = 16_000_000
-#: Remainders of values by which most look-ups end before the table.
+#: Remainders of hashes by which most shingles are told to be no template's.
 _REMAINDERS = 1 << 16
 _SLICE = 1 << 16
 _KEPT_WORDS = 200_000
@@ -120,23 +120,25 @@ class _Class:
     rows: int
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # (band, value), rising
     template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each key
-    marks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), bool))  # bands × remainders that occur
-
-    def store(self, signs: np.ndarray) -> None:
-        """`signs`: templates × bands."""
+    shingles: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))  # of all templates, hashed, rising
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # remainders of these
+
+    def store(self, signs: np.ndarray, hashed: np.ndarray) -> None:
+        """`signs`: templates × bands; `hashed`: the shingles of all templates."""
+        self.shingles = np.unique(hashed)
+        self.known = np.zeros(_REMAINDERS, bool)
+        self.known[self.shingles & np.uint32(_REMAINDERS - 1)] = True
         n, bands = signs.shape
         values = signs.astype(np.uint64) & np.uint64(0xFFFFFFFF)
         keys = (np.arange(bands, dtype=np.uint64) << np.uint64(32) | values).ravel()
         order = np.argsort(keys, kind="stable")
         self.keys, self.template = keys[order], np.repeat(np.array(self.numbers), bands)[order]
-        self.marks = np.zeros((bands, _REMAINDERS), bool)
-        self.marks[np.arange(bands), (values % np.uint64(_REMAINDERS)).astype(np.int64)] = True
 
     def retrieved(self, seen: np.ndarray) -> np.ndarray:
         """(template, window) pairs, rising, that agree in a band; `seen`: bands × windows."""
-        small = (seen & seen.dtype.type(_REMAINDERS - 1)).astype(np.uint16)
-        band, window = np.nonzero(np.take_along_axis(self.marks, small, axis=1))
-        keys = band.astype(np.uint64) << np.uint64(32) | (seen[band, window].astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        values = seen.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        keys = (np.arange(len(seen), dtype=np.uint64)[:, None] << np.uint64(32) | values).ravel()
+        window = np.tile(np.arange(seen.shape[1]), len(seen))
         lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -151,24 +153,33 @@ class _Class:
             out = (out ^ least[i::self.rows]) * np.uint64(0x9E3779B97F4A7C15)
         return out
 
-    def windows(self, x: np.ndarray) -> np.ndarray:
-        """Signatures of the windows at 0, stride, 2 · stride, …: bands × windows."""
-        blocks = -(-len(x) // self.stride)
-        least = np.full((len(self.factor), blocks + 2), 0xFFFFFFFF, np.uint32)
-        step = self.stride * max(1, _SLICE // self.stride)
-        for at in range(0, len(x), step):
-            part = x[at:at + step]
-            hashed = part * self.factor[:, None] + self.shift[:, None]
-            whole, lo = len(part) // self.stride, at // self.stride
-            cut = hashed[:, :whole * self.stride].reshape(len(hashed), whole, self.stride)
-            if whole:
-                out = cut[:, :, 0].copy()
-                for i in range(1, self.stride):
-                    np.minimum(out, cut[:, :, i], out=out)
-                least[:, lo:lo + whole] = out
-            if whole * self.stride < len(part):
-                least[:, lo + whole] = hashed[:, whole * self.stride:].min(axis=1)
-        return self._banded(np.minimum(np.minimum(least[:, :-2], least[:, 1:-1]), least[:, 2:]))
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        """Which shingles (hashed) some template of the class has."""
+        at = np.flatnonzero(self.known[x & np.uint32(_REMAINDERS - 1)])
+        place = np.minimum(np.searchsorted(self.shingles, x[at]), len(self.shingles) - 1)
+        return at[self.shingles[place] == x[at]]
+
+    def windows(self, x: np.ndarray, holds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of windows (at 0, stride, 2 · stride, …) and their signatures: bands ×
+        windows. `holds` are the places of shingles that some template has. Left out are windows without a shingle of any template: their minima are
+        those of other shingles, and as hashes of unlike shingles differ, in no band could
+        they be a template's."""
+        blocks, three = -(-len(x) // self.stride), np.arange(3)
+        number = np.unique((np.unique(holds // self.stride)[:, None] - three).ravel())
+        number = number[number >= 0]
+        need = np.unique((number[:, None] + three).ravel())
+        need = need[need < blocks]
+        least = np.full((len(self.factor), len(need) + 1), 0xFFFFFFFF, np.uint32)  # the last stands for no block
+        step = max(1, _SLICE // len(self.factor))
+        for at in range(0, len(need), step):
+            part = slice(at, min(at + step, len(need)))
+            for i in range(self.stride):
+                index = need[part] * self.stride + i
+                hashed = x[np.minimum(index, len(x) - 1)] * self.factor[:, None] + self.shift[:, None]
+                hashed[:, index >= len(x)] = 0xFFFFFFFF
+                np.minimum(least[:, part], hashed, out=least[:, part])
+        place = np.searchsorted(need, number[:, None] + three)
+        return number, self._banded(least[:, place].min(axis=2))
 
 
 class Scanner:
@@ -192,8 +203,9 @@ class Scanner:
             factor = random.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
             shift = random.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
             one = _Class(size, stride, numbers, factor, shift, rows)
-            least = [(self._hash(self.words[i], size) * factor[:, None] + shift[:, None]).min(axis=1)[:, None] for i in numbers]
-            one.store(np.array([one._banded(x)[:, 0] for x in least]))
+            hashed = [self._hash(self.words[i], size) for i in numbers]
+            least = [(x * factor[:, None] + shift[:, None]).min(axis=1)[:, None] for x in hashed]
+            one.store(np.array([one._banded(x)[:, 0] for x in least]), np.concatenate(hashed))
             self.classes.append(one)
 
     def _hash(self, words: Sequence[str], size: int) -> np.ndarray:
@@ -208,11 +220,13 @@ class Scanner:
         hashed = {size: _hashed(codes, size) for size in {c.size for c in self.classes}}
         found = []
         for c in self.classes:
-            if not len(hashed[c.size]):
+            at = c.holds(hashed[c.size])
+            if not len(at):
                 continue
-            pairs = c.retrieved(c.windows(hashed[c.size]))
+            windows, seen = c.windows(hashed[c.size], at)
+            pairs = c.retrieved(seen)
             for number in np.unique(pairs[:, 0]).tolist():
-                hits = pairs[pairs[:, 0] == number, 1]
+                hits = windows[pairs[pairs[:, 0] == number, 1]]
                 found += self.verified(words, number, c.size, 3 * c.stride, (hits * c.stride).tolist())
         return sorted(found)
 
