@@ -61,8 +61,7 @@ class WordIds:
         self.whole = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)  # for words: lower-cased, one may look like an added token
         self.tokenizer.encode_special_tokens = True
-        added = [re.escape(t.content.encode()) for t in self.whole.get_added_tokens_decoder().values()]
-        self.added = re.compile(b"|".join(added)).search if added else lambda text: None
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -107,9 +106,10 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of texts in UTF-8."""
-        odd = [i for i, text in enumerate(texts) if self.added(text)]
+        odd = [i for i, text in enumerate(texts) if any(token in text for token in self.added)]
         if odd:
-            rest = [text for text in texts if not self.added(text)]
+            whole = set(odd)
+            rest = [text for i, text in enumerate(texts) if i not in whole]
             found = self.whole.encode_batch_fast([texts[i].decode("utf-8", "replace") for i in odd], add_special_tokens=False)
             out = self(rest)
             for i, encoding in zip(odd, found):
