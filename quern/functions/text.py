@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.fixed import CHUNK_OVERLAP, CHUNK_SIZE
 
+# What runs in tasks travels inside them: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 
