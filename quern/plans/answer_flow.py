@@ -17,8 +17,11 @@ from quern.operators.upsert import upsert_cache
 from quern.sources.stored import StoredTable
 
 
-def answer_from_documents(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Questions with their context and a document response.
+def answer_from_documents(
+    questions: DataFrame, chunks: DataFrame, k: int = TOP_K, schema: DataFrame | None = None
+) -> DataFrame:
+    """Questions with their context and a document response. `schema`, one row with the
+    text of table schemas (`schema_context`), goes into every context, after the documents.
 
     Without a language model the assembled context stands as the answer; a caller
     with one maps `engineered_context` to the text of `rag_content`.
@@ -29,8 +32,10 @@ def answer_from_documents(questions: DataFrame, chunks: DataFrame, k: int = TOP_
         .withColumn("history", F.concat(F.lit(HISTORY_HEADING + "user: "), "user_query"))
         .withColumn("sql_result", F.lit(None).cast("string"))
     )
-    blocks = context_block(asked).withColumn("rag_content", F.col("engineered_context"))
-    return response_json(blocks, "rag")
+    if schema is not None:
+        asked = asked.withColumn("schema_context", schema.scalar())
+    blocks = context_block(asked, schema=None if schema is None else "schema_context")
+    return response_json(blocks.withColumn("rag_content", F.col("engineered_context")), "rag")
 
 
 def _routed_answers(

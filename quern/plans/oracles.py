@@ -709,6 +709,11 @@ ORACLES |= {
     "answer_questions": f"""
         WITH {DOCS}, {CHUNKS}, {QUESTIONS}, {RETRIEVED}, {FOUND}, {CONTEXTS}
         SELECT question_id, engineered_context, final_response FROM answers""",
+    "answer_with_schema": f"""
+        WITH {DOCS}, {CHUNKS}, {QUESTIONS}, {RETRIEVED}, {FOUND}, {CONTEXTS}, schemas AS ({_context_sql()}),
+        whole AS (SELECT question_id, session_id, user_query, sources,
+            engineered_context || {BREAK} || {_lit(fixed.SCHEMA_HEADING)} || schema_text AS context FROM contexts, schemas)
+        SELECT question_id, context AS engineered_context, {_json('rag', rag_content='context', sources='sources')} AS final_response FROM whole""",
     "answer_flow": f"{FLOW} SELECT question_id, session_id, outcome, route, kind, final_response FROM checked",
     "answer_flow_cache": f"""
         {FLOW}, fresh AS (

@@ -334,15 +334,19 @@ def schema_inventory(spark, sf_dir):
     return catalog.schema_inventory(spark, frames).join(counted, ["table_name", "column_name"])
 
 
-@query
-def schema_context(spark, sf_dir):
-    """The schema text of the tables that hold rows."""
+def _schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = given.discover(spark, sf_dir)
     filled = _each(frames, lambda df: df.agg(F.count(F.lit(1)).alias("n"))).where("n > 0")
     inventory = catalog.schema_inventory(spark, frames)
     return catalog.schema_context(inventory.join(filled.select("table_name"), "table_name", "left_semi"))
 
 
+@query
+def schema_context(spark, sf_dir):
+    """The schema text of the tables that hold rows."""
+    return _schema_text(spark, sf_dir)
+
+
 @query
 def table_profile(spark, sf_dir):
     return catalog.profiles(given.discover(spark, sf_dir)).select(
@@ -879,6 +883,14 @@ def answer_questions(spark, sf_dir):
     return answers.select("question_id", "engineered_context", "final_response")
 
 
+@query
+def answer_with_schema(spark, sf_dir):
+    """The same with the schemas of the tables beside the documents."""
+    answers = flow.answer_from_documents(
+        given.questions(spark, sf_dir), _chunks(spark, sf_dir), schema=_schema_text(spark, sf_dir))
+    return answers.select("question_id", "engineered_context", "final_response")
+
+
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = given.verdict_texts(spark, sf_dir)
     label = lambda number: F.concat(F.lit("d"), number.cast("string")).alias("question_id")

@@ -34,6 +34,8 @@ from quern.sources.files import Folder
 from quern.sources.tables import write_sized
 
 BATCH = "batch_id"
+#: Bytes of a row group of a batch.
+ROW_GROUP = 8 << 20
 END = "ends"
 #: Where bases are, hidden from Spark's own listing, so that a stream of the log passes them over.
 BASES = "_bases"
@@ -43,7 +45,8 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Adds a batch, or puts it in place of an earlier attempt at it. One that is in the
     base already is left alone, with what it wrote."""
     if batch_id > _state(df.sparkSession, path)[0]:
-        df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        # small row groups, so that what reads a batch next can cut it up; bases have large ones
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{BATCH}={batch_id}")
 
 
 def log_schema(schema: T.StructType, versions: Sequence[str]) -> T.StructType:

@@ -5,7 +5,7 @@ import pytest
 from quern.plans.queries import QUERIES
 
 STREAMS = {"stream_ingest", "stream_index_sync", "stream_error_log", "index_resync"}
-WITH_PYTHON = {"chunk_pieces", "file_scan", 
+WITH_PYTHON = {"chunk_pieces", "file_scan", "answer_with_schema", 
     "vector_topk", "vector_topk_lsh", "text_retrieve", "retrieval_context", "retrieval_sources",
     "answer_questions", "answer_flow",
 }
