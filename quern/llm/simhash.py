@@ -34,6 +34,8 @@ SEGMENTS = 16
 #: Fingerprints in a cell up to which they are compared one by one.
 CROWDED = 24
 MAX_BITS = 2
+#: Words of the shingles that make a fingerprint.
+FINGERPRINT_WORDS = 3
 SEED = 42
 _SLICE = 1 << 16
 #: MinHash bands of the near-duplicate stage, their rows, shingles hashed at once there.
@@ -66,7 +68,7 @@ def simhash(data: bytes, words: int) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprint(text: Column, words: int = 3) -> Column:
+def fingerprint(text: Column, words: int = FINGERPRINT_WORDS) -> Column:
     """Fingerprints of `words`-word shingles; null and blank texts have zero."""
 
     @F.pandas_udf(T.LongType())
@@ -142,7 +144,9 @@ def grouped(fingerprints: DataFrame, crowded: int = CROWDED) -> DataFrame:
         "doc_id", "fingerprint", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = FINGERPRINT_WORDS
+) -> DataFrame:
     """One row (doc_id, fingerprint long, component_id) per document.
 
     Null or blank texts have fingerprint zero and are linked like any other. Other
@@ -178,32 +182,33 @@ def _hashes(data: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(s), SEED) for s in _shingles(data, words)), np.uint64))
 
 
-def sketch(data: bytes, words: int) -> tuple[int, int, list[int]]:
-    """Of the set of a text's shingles: a digest, the fingerprint, the MinHash bands.
+def sketch(data: bytes, words: int) -> tuple[int, list[int]]:
+    """Of the set of a text's shingles: a digest and the MinHash bands.
 
     Repeats count once here, as they do in a Jaccard similarity.
     """
     digest = xxhash.xxh64_intdigest
     hashes = _hashes(data, words)
-    counts = np.zeros(64, np.int64)
     least = np.full(len(_FACTOR), (1 << 32) - 1, np.uint64)
     for start in range(0, len(hashes), _SKETCH_SLICE):
         part = hashes[start:start + _SKETCH_SLICE]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
         least = np.minimum(least, ((part * _FACTOR[:, None] + _SHIFT[:, None]) >> np.uint64(32)).min(axis=1))
-    fp = np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0]
     bands = [digest(bytes([i]) + row.tobytes(), SEED) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
     shape, *bands = np.array([digest(hashes.tobytes(), SEED), *bands], np.uint64).view(np.int64).tolist()
-    return shape, int(fp), bands
+    return shape, bands
 
 
 def _sketched(text: Column, words: int) -> Column:
+    """The fingerprint of `near_duplicates` and the sketch, from one reading of a text."""
     kind = pa.struct([("shape", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     @F.arrow_udf("struct<shape: long, fp: long, bands: array<long>>")
     def of(bodies: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(("shape", "fp", "bands"), sketch(b.as_py(), words))) for b in bodies], kind)
+        def marks(data: bytes) -> dict:
+            shape, bands = sketch(data, words)
+            return {"shape": shape, "fp": simhash(data, FINGERPRINT_WORDS), "bands": bands}
+
+        return pa.array([marks(b.as_py()) for b in bodies], kind)
 
     return of(body(text))
 
@@ -291,11 +296,12 @@ def _crowd_links(crowds: DataFrame, similarity: float, crowded: int) -> DataFram
     return cells.join(crowds, "shape").groupBy("band", "lo", "hi").applyInPandas(links_of, "a long, b long")
 
 
-def _grid_pairs(shapes: DataFrame, crowded: int) -> DataFrame:
-    """Pairs of shapes whose fingerprints differ in two bits or fewer, by the grid: each
-    shape with the smallest of its fingerprint, and those of linked fingerprints."""
-    least = shapes.groupBy("fp").agg(F.min("shape").alias("least"))
-    same = shapes.join(least, "fp").where("shape != least").select(F.col("least").alias("a"), F.col("shape").alias("b"))
+def _fingerprint_links(marks: DataFrame, crowded: int) -> DataFrame:
+    """Links (a, b) of shapes that connect those with fingerprints at two bits or fewer:
+    each shape with the smallest of its fingerprint, and those of linked fingerprints.
+    `marks` has every (shape, fp) that occurs."""
+    least = marks.groupBy("fp").agg(F.min("shape").alias("least"))
+    same = marks.join(least, "fp").where("shape != least").select(F.col("least").alias("a"), F.col("shape").alias("b"))
     one, other = (least.select(F.col("fp").alias(n), F.col("least").alias(f"{n}_shape")) for n in "ab")
     near = links(least.select("fp"), crowded).join(one, "a").join(other, "b")
     return same.unionByName(near.select(F.least("a_shape", "b_shape").alias("a"), F.greatest("a_shape", "b_shape").alias("b")))
@@ -308,7 +314,7 @@ def similar(
     `similarity` or more, compared whole. `shapes` names a row of `rows` for each. Crowds
     are connected without listing every pair."""
     few, many = _band_pairs(shapes, crowded)
-    pairs = Saved(_grid_pairs(shapes, crowded).unionByName(few).distinct(), "pairs").df
+    pairs = Saved(few.distinct(), "pairs").df
     many = Saved(many, "crowded").df
     met = pairs.select(F.explode(F.array("a", "b")).alias("shape")).unionByName(many).distinct()
     wanted = shapes.join(met, "shape").select("shape", "_quern_row")
@@ -336,12 +342,12 @@ def without_near_duplicates(
     """`docs` with one row of each group of near-duplicates: that with the smallest id,
     of equal ids that with the smallest text hash. Rows without an id come last.
 
-    Rows are linked if their sets of `words`-word shingles have a Jaccard similarity of
-    `similarity` or more, and a group is what links connect. Two bits of 64 tell apart
-    most pairs at 0.8, and the popcount bound rules out next to nothing at the 14 bits
-    these would need. So MinHash bands propose pairs beside the grid: a pair at 0.8 stays
-    unseen with a chance of 2 in 10,000. Whatever is proposed is compared exactly, and
-    buckets of any size are compared in full.
+    Rows are linked as `near_duplicates` links them, by fingerprints at two bits or fewer,
+    and a group is what links connect. Beside that, rows are linked if their sets of
+    `words`-word shingles have a Jaccard similarity of `similarity` or more, as most such
+    pairs are further apart than two bits. MinHash bands propose these: a pair at 0.8 stays
+    unseen with a chance of 2 in 10,000. What they propose is compared exactly, and buckets
+    of any size are compared in full.
 
     Null, empty and blank texts are alike. Columns of any name pass through.
     """
@@ -356,7 +362,9 @@ def without_near_duplicates(
 
     narrow = rows.select(row, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), f"{made}.*")
     shapes = Saved(firsts(narrow, "shape"), "shapes").df
-    roots = components(similar(rows, shapes, text_col, words, similarity))
+    marks = Saved(narrow.select("shape", "fp").distinct(), "marks").df
+    found = _fingerprint_links(marks, CROWDED).unionByName(similar(rows, shapes, text_col, words, similarity))
+    roots = components(found)
     rooted = shapes.join(roots, shapes.shape == roots.node, "left").select(
         row, "id", "hash", F.coalesce("root", "shape").alias("root"))
     return rows.join(firsts(rooted, "root").select(row), row, "left_semi").select(*docs.columns)
