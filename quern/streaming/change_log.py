@@ -46,7 +46,7 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     base already is left alone, with what it wrote."""
     if batch_id > _state(df.sparkSession, path)[0]:
         # small row groups, so that what reads a batch next can cut it up; bases have large ones
-        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{BATCH}={batch_id}")
+        df.write.mode("overwrite").options(**{"parquet.block.size": ROW_GROUP, "compression": "zstd"}).parquet(f"{path}/{BATCH}={batch_id}")
 
 
 def log_schema(schema: T.StructType, versions: Sequence[str]) -> T.StructType:
