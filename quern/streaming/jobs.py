@@ -94,7 +94,7 @@ def index_rows(chunks: DataFrame, versions: Sequence[str] = ()) -> DataFrame:
         F.struct("chunk_id", F.md5("text_content").alias("content_hash"), *versions).alias("id"),
         "text_content",
     )
-    return embed_chunks(named, "id", "text_content").select("id.*", "tf", "embedding")
+    return embed_chunks(named, "id", "text_content", arrow=True).select("id.*", "tf", "embedding")
 
 
 def stream_index_sync(
